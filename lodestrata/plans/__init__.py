@@ -1,0 +1 @@
+"""Plans of the engine, as DataFrame transformations."""

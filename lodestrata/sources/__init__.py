@@ -1,0 +1 @@
+"""Sources of the engine, as DataFrame transformations."""
