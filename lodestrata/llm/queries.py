@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, mixing
+from lodestrata.llm import decontam, mixing, quality_gbt, secret_scan, simhash_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_gbt.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_trie.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_trie.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = (
+        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(secret_scan.KINDS[:3])
+    )
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -24,5 +47,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_mixing": op9_mixing, "op10_decontamination": op10_decontamination}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_quality, op3_simhash, op6_secrets, op9_mixing, op10_decontamination)
+}
 ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL}
