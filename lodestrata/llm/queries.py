@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontam, mixing, quality_gbt, secret_scan, simhash_trie
+from lodestrata.llm import ann_forest, decontam, line_dedup, mixing, ngram_lm, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_gbt.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -22,6 +26,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_trie.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_decisions(_table(spark, sf_dir, "documents"))
+    kept = line_dedup.kept_text(F.col("text"), F.col("removed"))
+    return found.select(
+        "doc_id", line_dedup.line_count(F.col("text")).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -35,6 +53,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_lm(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +77,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_quality, op3_simhash, op6_secrets, op9_mixing, op10_decontamination)
+    for f in (
+        op1_neighbours, op2_quality, op3_simhash, op4_line_dedup, op5_toxicity, op6_secrets,
+        op7_lm_scoring, op8_token_counts, op9_mixing, op10_decontamination,
+    )
 }
 ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL}

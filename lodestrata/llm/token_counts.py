@@ -42,7 +42,7 @@ def byte_letters() -> list[str]:
 class Transducer:
     """Counts the tokens of pieces; compiled from a vocabulary file of byte pairs with word ends."""
 
-    def __init__(self, path: str, max_states: int = 200_000, max_pieces: int = 300_000):
+    def __init__(self, path: str, max_states: int = 200_000, max_pieces: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
