@@ -140,7 +140,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """docs without the contaminated documents; all columns stay."""
-    bad = contamination(docs, items, size, share).where("contaminated").select("doc_id", "text_hash").distinct().alias("b")
+    found = stored(contamination(docs, items, size, share).where("contaminated").select("doc_id", "text_hash").distinct(), "contaminated")
+    bad = small_enough(found, MAX_BROADCAST_ROWS).alias("b")
     return docs.alias("d").join(
         bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_hash")), "left_anti"
     )

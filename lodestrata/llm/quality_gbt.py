@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import stored
-
 CLASSES = {
     "lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "space": (32,), "newline": (10,),
     "full_stop": (46,), "comma": (44,), "exclamation": (33,), "bar": (124,), "dollar": (36,), "percent": (37,),
@@ -131,33 +129,51 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
+def fitted(docs: DataFrame, labels: DataFrame, max_training_rows: int = 40_000) -> Trees:
+    """Trees fitted on the driver, on the max_training_rows labelled documents, not held out, with the smallest hash of their id.
+
+    That bounds the fit; only the statistics of those documents come to the driver.
+    """
+    known = labels_of(labels, "quality").where(~held_out(F.col("doc_id")))
+    drawn = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_rows))  # the limit bounds it
+    sample = (
+        docs.select("doc_id", "text").join(drawn, "doc_id").select(F.struct("doc_id", "label").alias("doc_id"), "text")
+        .mapInArrow(_statistics, "doc_id struct<doc_id: " + docs.schema["doc_id"].dataType.simpleString() + ", label: int>, stats array<float>")
+        .select("doc_id.*", "stats").dropDuplicates(["doc_id"]).orderBy("doc_id").select("stats", "label").toArrow()
+    )
+    x = sample.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
+    return fit(x, sample.column("label").to_numpy().astype(float))
+
+
+def _scores(trees: Trees, batch: pa.RecordBatch) -> np.ndarray:
+    return trees.score(np.array([statistics(x.as_py()) for x in batch.column("text")], np.float32).reshape(-1, len(NAMES)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, max_training_rows: int = 40_000) -> DataFrame:
     """A quality score of each whole text.
 
     docs has doc_id and text, labels has doc_id and quality; other columns are ignored. Returns
-    one row per input row: doc_id, held_out, score (0 to 1). The trees are fitted on the driver on
-    the max_training_rows labelled documents, not held out, with the smallest hash of their id: that bounds the fit,
-    and nothing else is sampled. Null and empty texts have the statistics of an empty text.
+    one row per input row: doc_id, held_out, score (0 to 1). Null and empty texts have the statistics of an empty text.
     Without any label every score is 0.5. Repeated rows get the same score.
     """
-    stats = stored(docs.select("doc_id", "text").mapInArrow(_statistics, _stats_type(docs)), "stats")
-    sample = (
-        stats.where(~held_out(F.col("doc_id"))).join(labels_of(labels, "quality"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training_rows).select("stats", "label").toArrow()
-    )
-    x = np.array(sample.column("stats").to_pylist(), np.float32).reshape(-1, len(NAMES))
-    trees = fit(x, sample.column("label").to_numpy().astype(float))
+    trees = fitted(docs, labels, max_training_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("stats").flatten().to_numpy().reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(trees.score(values))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_scores(trees, batch))], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "stats").mapInArrow(
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         score, f"doc_id {kind}, held_out boolean, score double"
     )
 
 
-def _stats_type(docs: DataFrame) -> str:
-    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stats array<float>"
+def keep_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_training_rows: int = 40_000) -> DataFrame:
+    """docs without the rows that score below the cut; all columns stay, and rows are as in score_quality()."""
+    trees = fitted(docs, labels, max_training_rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(trees, batch) >= cut))
+
+    return docs.mapInArrow(keep, docs.schema)

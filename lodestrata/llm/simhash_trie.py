@@ -197,10 +197,10 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
 def near_dedup(docs: DataFrame, budget: int = 2) -> DataFrame:
     """docs without the near-copies: of each component the document with the smallest doc_id stays.
 
-    Of rows that repeat that doc_id, one stays. All columns stay.
+    Of rows that repeat that doc_id, one stays; rows with a null doc_id, which name no document, all stay. All columns stay.
     """
     kept = simhash_components(docs, budget).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
 
 
 def hex_print(column: Column) -> Column:
