@@ -1,8 +1,54 @@
-"""From raw documents to a training mix, stage by stage."""
+"""From raw documents to a training mix, stage by stage.
 
-STAGES = []
+Each stage works on all that its predecessor kept. SimHash components have no SQL form, so the whole
+is tested against brute force on a small fixture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.llm import decontam, line_dedup, mixing, quality_gbt, simhash_trie
+from lodestrata.llm._shared import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality_gbt.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier one; those that lost every line with words go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    return simhash_trie.near_dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document that is part of it."""
+    return mixing.mix_sources(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("mix", mix),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
