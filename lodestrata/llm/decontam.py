@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import ascii_lower, small_enough, stored
 
-#: Fixed pattern of the query contract, after A-Z is in lower case.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What divides the words of the query contract, after A-Z is in lower case.
+BETWEEN_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Tables of test windows and terms up to this many rows are broadcast, others are shuffled.
 MAX_BROADCAST_ROWS = 200_000
 
 
 def terms(text: Column) -> Column:
     """The lower-case words of a text in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    # split() is ten times as fast as regexp_extract_all(); only its first and last parts can be empty
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN_TERMS, -1), ""), F.array().cast("array<string>"))
 
 
 def test_windows(items: DataFrame, size: int = 13) -> DataFrame:
