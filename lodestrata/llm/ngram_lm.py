@@ -307,7 +307,7 @@ class Model(NamedTuple):
         return np.bincount(t.text, minlength=n), np.bincount(t.text, count > 0, n).astype(np.int64), np.bincount(t.text, base, n), np.bincount(t.text, score, n)
 
 
-def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 3_000_000) -> Model:
+def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 2_000_000) -> Model:
     """A model of the texts of docs; nothing but sums and at most four crowded words a shard comes to the driver."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "lm")
     texts = docs.select("text")
@@ -383,7 +383,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
     model = train(docs.where(learned(F.col("doc_id"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_text(batches, most_bytes=8_000_000):
+        for batch in batches_of_text(batches, most_bytes=4_000_000):
             n, known, base, scores = (pa.array(x) for x in model.score_texts(batch.column("text").to_pylist()))
             total = pa.array(np.full(len(batch), model.tokens), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -17,6 +17,7 @@ is associative, in a scan of log2(chunks) rounds.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 END = "</w>"
 #: The pre-tokenizer's pattern, as the vocabulary file states it; text between matches is dropped.
+#: The same for ASCII text, in the faster module of the standard library.
+ASCII_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]+"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
@@ -39,6 +42,16 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+class Pieces(dict):
+    """Counts of pieces; those that are missing are counted."""
+
+    def __init__(self, count):
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        return self.count(piece)
+
+
 class Transducer:
     """Counts the tokens of pieces; compiled from a vocabulary file of byte pairs with word ends."""
 
@@ -67,7 +80,7 @@ class Transducer:
             self.accepts[node] = t
         self.max_states, self.max_pieces = max_states, max_pieces
         self.joins: dict[int, bool] = {}
-        self.pieces: dict[str, int] = {}
+        self.pieces = Pieces(self.piece)
         self.reset()
 
     def _spell(self, token: str) -> list[int]:
@@ -150,12 +163,11 @@ class Transducer:
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings, from the initial state."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final form of sigma
-        known, piece = self.pieces, self.piece
-        total = 0
-        for p in PATTERN.findall(text):
-            total += known[p] if p in known else piece(p)
-        return total
+        if text.isascii():
+            found = ASCII_PATTERN.findall(text.lower())
+        else:
+            found = PATTERN.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())  # no final form of sigma
+        return sum(map(self.pieces.__getitem__, found))
 
     def count(self, text: str) -> int:
         """Tokens of a text; special strings are one token each, as they are spelled in the raw text."""
@@ -165,7 +177,7 @@ class Transducer:
         return self.plain(text)
 
 
-PATTERN = regex.compile(PIECE)
+PATTERN, ASCII_PATTERN = regex.compile(PIECE), re.compile(ASCII_PIECE)
 GAP = regex.compile(r"\p{White_Space}")
 
 
