@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "flagship"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from lodestrata.plans import retrieval_queries, table_queries, text_queries
 
+FLAGSHIP = "bm25_topk"
+_ALL = text_queries.QUERIES | retrieval_queries.QUERIES | table_queries.QUERIES
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items()}
