@@ -6,9 +6,10 @@ lines meet at the words of their prefixes, where pairs must pass the length filt
 filter (what can still be common after the shared word) and a 64-bit parity sketch of the sets, whose
 differing bits are at most the differing words. What passes is verified on the whole sets.
 
-Lines are in the order of doc_id and place. Equal sets are met by their key and compared once. Of each line the earliest
-candidates are verified first, as one earlier match is enough to remove it; lines whose candidates
-failed while more were left are searched again with more candidates, until none is left.
+Lines are in the order of doc_id and place. Equal sets are met by their key and compared once. One
+earlier match is enough to remove a line, so of each line only the candidates with the closest sketches are verified at first:
+few where a sketch is close, more where all are doubtful. Lines whose candidates failed while more
+were left are searched again with more candidates, until none is left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import stored
-from lodestrata.llm.words import batches_of_text, mixed, words_of
+from lodestrata.llm.words import batches_of_text, coded, mixed, words_of
 
 #: Words of one cell share a rarity, so the table of rarities has this size at any number of words.
 CELL_BITS, SHARD_BITS = 23, 6
@@ -40,11 +41,12 @@ class Sets(NamedTuple):
     first: np.ndarray  # number of the first line of each text, and the number of lines
 
 
-def line_sets(texts: list[str | None]) -> Sets:
+def line_sets(texts: list[str | bytes | None]) -> Sets:
+    texts = coded(texts)
     w = words_of(texts)
     ends = np.flatnonzero(w.raw[:-8] == 10)
     line = np.searchsorted(ends, w.start)
-    first = np.searchsorted(ends, np.cumsum([0, *(len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts)]))
+    first = np.searchsorted(ends, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     bits = max(1, int(len(ends)).bit_length())
     place = (line.astype(np.uint64) << np.uint64(64 - bits)) | (w.hash >> np.uint64(bits))
     order = np.argsort(place)
@@ -67,27 +69,21 @@ def _order_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
 
 
-def _keys_and_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of keys for each text, and at the end of a task rows with the counts of cells."""
-    kinds = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("keys", pa.list_(pa.int64())), ("shard", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-    total = np.zeros(1 << CELL_BITS, np.uint32)
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At the end of a task, the counts of cells by shard and the bytes read."""
+    kinds = pa.schema([("shard", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()), ("n_bytes", pa.int64())])
+    total, n_bytes = np.zeros(1 << CELL_BITS, np.uint32), 0
     for batch in batches_of_text(batches):
-        s = line_sets(batch.column("text").to_pylist())
-        total += np.bincount((s.hash >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
-        known = np.zeros(s.first[-1], bool)
-        known[s.line] = True
-        keys = np.zeros(s.first[-1], np.int64)
-        keys[s.line] = s.key.view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(s.first, pa.int32()), pa.array(keys, mask=~known))
-        empty = pa.nulls(len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("version"), lists, empty.cast(pa.int32()), empty.cast(pa.binary()), empty.cast(pa.binary())], schema=kinds)
+        w = words_of(batch.column("text").to_pylist())
+        n_bytes += len(w.raw)
+        total += np.bincount((w.hash >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
     rows = []
     for shard, part in enumerate(total.reshape(1 << SHARD_BITS, -1)):
         cells = np.flatnonzero(part)
         if len(cells):
-            rows.append({"shard": shard, "cells": cells.astype(np.uint32).tobytes(), "counts": part[cells].tobytes()})
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            rows.append({"shard": shard, "cells": cells.astype(np.uint32).tobytes(), "counts": part[cells].tobytes(), "n_bytes": n_bytes})
+            n_bytes = 0
+    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
 
 def _rarity_codes(table: pa.Table) -> pa.Table:
@@ -156,15 +152,23 @@ def _entries(s: Sets, doc: np.ndarray, codes: np.ndarray, threshold: float) -> d
     }
 
 
-def _candidates(e: dict[str, np.ndarray], side: np.ndarray | None, threshold: float, most: int) -> tuple[np.ndarray, ...]:
-    """Pairs (later line's key, earlier line's key, rank among the later line's candidates at one word): the earliest
-    `most` of each, and one more that says that there are more. side: pairs must have different sides."""
-    order = np.lexsort((e["key"], e["line"], e["doc"], e["token"]))
+PAIR = ("later", "earlier", "rank", "distance", "later_doc", "later_line", "earlier_doc", "earlier_line")
+
+
+def _candidates(e: dict[str, np.ndarray], side: np.ndarray | None, threshold: float, most: int, wanted: tuple[bytes, int] | None = None) -> dict[str, np.ndarray]:
+    """Pairs of a later and an earlier line that meet at a word and pass the filters.
+
+    Of each later line at one word those with the closest sketches, 2 * most if the closest is within half of what the
+    filter allows, else 64 * most; rank 0, or -1 for one more, which says that there are more. side: pairs must have different sides; wanted: a filter of bits of the later lines' keys.
+    """
+    order = np.lexsort((e["size"], e["token"]))
     e = {c: e[c][order] for c in ENTRY}
     side = None if side is None else side[order]
     n = len(order)
-    new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]]) if n else np.empty(0, bool)
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.empty(0, np.int64)
+    group = np.cumsum(np.concatenate([[False], e["token"][1:] != e["token"][:-1]])) if n else np.empty(0, np.int64)
+    place = (group.astype(np.int64) << 32) | e["size"]
+    lowest = np.ceil(threshold * e["size"] - 1e-9).astype(np.int64)
+    start = np.searchsorted(place, (group.astype(np.int64) << 32) | lowest)
     before = np.arange(n) - start
     done = np.concatenate([[0], np.cumsum(before)])
     out: list[tuple[np.ndarray, ...]] = []
@@ -175,24 +179,32 @@ def _candidates(e: dict[str, np.ndarray], side: np.ndarray | None, threshold: fl
         j = np.repeat(np.arange(at, upto), count)
         i = np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count) + start[j]
         at = upto
-        ok = e["size"][i] >= threshold * e["size"][j] - 1e-9
-        ok &= e["size"][j] >= threshold * e["size"][i] - 1e-9
-        if side is not None:
-            ok &= side[i] != side[j]
-        i, j = i[ok], j[ok]
         both = e["size"][i] + e["size"][j]
         least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
-        ok = 1 + np.minimum(e["size"][i] - e["place"][i], e["size"][j] - e["place"][j]) - 1 >= least
-        ok &= np.bitwise_count(e["sketch"][i] ^ e["sketch"][j]) <= both - 2 * least
+        allowed = both - 2 * least
+        distance = np.bitwise_count(e["sketch"][i] ^ e["sketch"][j])
+        ok = (distance <= allowed) & (np.minimum(e["size"][i] - e["place"][i], e["size"][j] - e["place"][j]) >= least)
         ok &= e["key"][i] != e["key"][j]
-        i, j = i[ok], j[ok]
-        if len(j):
-            first = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]]))
-            rank = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
-            keep = rank <= most
-            out.append((e["key"][j[keep]], e["key"][i[keep]], rank[keep], e["doc"][i[keep]], e["line"][i[keep]]))
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32)
-    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, kind) for k, kind in enumerate(kinds))
+        if side is not None:
+            ok &= side[i] != side[j]
+        i, j, distance, allowed = i[ok], j[ok], distance[ok], allowed[ok]
+        swap = (e["doc"][i] > e["doc"][j]) | ((e["doc"][i] == e["doc"][j]) & ((e["line"][i] > e["line"][j]) | ((e["line"][i] == e["line"][j]) & (e["key"][i] > e["key"][j]))))
+        late, early = np.where(swap, i, j), np.where(swap, j, i)
+        ok = slice(None) if wanted is None else _has_bit(e["key"][late], *wanted)
+        out.append((late[ok], early[ok], distance[ok], allowed[ok]))
+    late, early, distance, allowed = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(4))
+    order = np.lexsort((e["line"][early], e["doc"][early], distance, late))
+    late, early, distance, allowed = late[order], early[order], distance[order], allowed[order]
+    first = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]])) if len(late) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(late)))
+    rank = np.arange(len(late)) - np.repeat(first, size)
+    cap = np.repeat(np.where(distance[first] * 2 <= allowed[first], 2 * most, 64 * most), size)
+    keep = rank <= cap
+    late, early, rank = late[keep], early[keep], np.where(rank == cap, -1, 0)[keep]
+    return {
+        "later": e["key"][late], "earlier": e["key"][early], "rank": rank, "distance": distance[keep].astype(np.int64),
+        "later_doc": e["doc"][late], "later_line": e["line"][late], "earlier_doc": e["doc"][early], "earlier_line": e["line"][early],
+    }
 
 
 def _distinct(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -203,57 +215,88 @@ def _distinct(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {c: e[c][keep] for c in ENTRY}
 
 
-PAIR = "later long, earlier long, rank long, doc long, line int"
+PAIR_COLUMNS = "later long, earlier long, rank long, distance long, later_doc long, later_line int, earlier_doc long, earlier_line int"
 
 
-def _pair_table(found: tuple[np.ndarray, ...]) -> pa.Table:
-    later, earlier, rank, doc, line = found
-    # a pair that met at several words is given once from this block
-    order = np.lexsort((rank, earlier, later))
-    keep = order[np.concatenate([[True], (later[order][1:] != later[order][:-1]) | (earlier[order][1:] != earlier[order][:-1])])] if len(order) else order
-    return pa.table({
-        "later": pa.array(later[keep].view(np.int64)), "earlier": pa.array(earlier[keep].view(np.int64)), "rank": pa.array(rank[keep], pa.int64()),
-        "doc": pa.array(doc[keep], pa.int64()), "line": pa.array(line[keep], pa.int32()),
-    })
+def _pair_table(found: dict[str, np.ndarray]) -> pa.Table:
+    """A pair that met at several words of this block once, with rank -1 if it has that at any."""
+    order = np.lexsort((found["rank"], found["earlier"], found["later"]))
+    a, b = found["later"][order], found["earlier"][order]
+    keep = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(order) else order
+    kinds = {"later_line": np.int32, "earlier_line": np.int32}
+    return pa.table({c: pa.array(found[c][keep].view(np.int64) if found[c].dtype == np.uint64 else found[c][keep].astype(kinds.get(c, np.int64))) for c in PAIR})
 
 
-def candidate_pairs(texts: DataFrame, codes: bytes, n_bytes: int, threshold: float, most: int, wanted: Column | None = None) -> DataFrame:
-    """(later, earlier, rank, doc, line): keys of lines that pass the filters; rank `most` or more says that more are left.
+def _met_table(pairs: pa.Table | None = None, entries: dict | None = None, firsts: dict | None = None) -> pa.Table:
+    """One of the three results of a block, with nulls for the others."""
+    kinds = {**dict.fromkeys(PAIR, pa.int64()), "later_line": pa.int32(), "earlier_line": pa.int32(), **{f"e_{c}": pa.binary() for c in ENTRY}}
+    kinds |= {"key": pa.int64(), "doc": pa.int64(), "version": pa.int64(), "line": pa.int32()}
+    given: dict[str, pa.Array] = {}
+    if pairs is not None:
+        given = {c: pairs.column(c) for c in PAIR}
+    elif entries is not None:
+        given = {f"e_{c}": pa.array([entries[c].tobytes()]) for c in ENTRY}
+    elif firsts is not None:
+        given = {"key": pa.array(firsts["key"].view(np.int64)), "doc": pa.array(firsts["doc"]), "version": pa.array(firsts["token"].view(np.int64)), "line": pa.array(firsts["line"])}
+    n = len(next(iter(given.values())))
+    return pa.table({c: given[c] if c in given else pa.nulls(n, kind) for c, kind in kinds.items()})
+
+
+MET_COLUMNS = PAIR_COLUMNS + "".join(f", e_{c} binary" for c in ENTRY) + ", key long, doc long, version long, line int"
+
+
+def meet_lines(texts: DataFrame, codes: bytes, n_bytes: int, threshold: float, most: int = 1, wanted: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of candidates, firsts: the first line of each set as key, doc, version, line).
 
     A word's group has no more lines than the word's count. Words that are in more lines than one
     task should meet are dealt apart by key; what is left of equal sets is counted, and slices meet in pairs.
+    wanted: filters of bits of words and of keys; only such words are dealt and only lines of such keys get pairs; no firsts.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(codes)
+    words, laters = wanted or (None, None)
+    shared = spark.sparkContext.broadcast((codes, words, laters))
     buckets = max(32, n_bytes // 3_000_000)
     slice_rows = 32_768
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
+        table, only = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
         for batch in batches_of_text(batches):
             s = line_sets(batch.column("text").to_pylist())
             e = _entries(s, batch.column("doc").to_numpy(), table, threshold)
+            if only is not None:
+                hit = _has_bit(e["token"], *only)
+                e = {c: x[hit] for c, x in e.items()}
             bucket = (e["token"] % np.uint64(buckets)).astype(np.int32)
             common = e["code"] >= COMMON_CODE
             parts = np.exp2((e["code"].astype(float) - 16) / 8 + 4 - 14)  # the count in units of 16,384
             slices = np.maximum(1, np.ceil(parts)).astype(np.uint64)
             lo = np.where(common, (e["key"] % slices).astype(np.int64), -1).astype(np.int32)
             yield _blocks(e, bucket, lo, np.full(len(bucket), -1, np.int32))
+            if only is None:
+                text = np.searchsorted(s.first, s.line, "right") - 1
+                doc, version = batch.column("doc").to_numpy()[text], batch.column("version").to_numpy()[text]
+                place = (s.line - s.first[text]).astype(np.int32)
+                order = np.lexsort((place, version, doc, s.key))
+                one = order[np.concatenate([[True], s.key[order][1:] != s.key[order][:-1]])] if len(order) else order
+                none = np.zeros(len(one), np.int32)
+                f = {"token": version[one].view(np.uint64), "key": s.key[one], "doc": doc[one], "line": place[one], "size": none, "place": none, "sketch": np.zeros(len(one), np.uint64)}
+                bucket = (s.key[one] % np.uint64(buckets)).astype(np.int32)
+                yield _blocks(f, bucket, none - 2, none - 1)
 
     def meet(table: pa.Table) -> pa.Table:
-        """Pairs of a bucket of rare words; the distinct entries of common words come out as a block."""
-        e, common = _distinct(_read(table)), table.column("lo")[0].as_py() >= 0
-        none = {c: pa.nulls(0, pa.binary()) for c in ENTRY}
-        if common:
-            block = pa.Table.from_batches([_blocks(e, *(np.zeros(len(e["key"]), np.int32),) * 3)]).select(list(ENTRY))
-            pairs = _pair_table(tuple(x[:0] for x in _candidates({c: e[c][:0] for c in ENTRY}, None, threshold, most)))
-            return pa.table({**{c: pa.nulls(len(block), pairs.schema.field(c).type) for c in pairs.column_names}, **{f"e_{c}": block.column(c) for c in ENTRY}})
-        pairs = _pair_table(_candidates(e, None, threshold, most))
-        return pa.table({**{c: pairs.column(c) for c in pairs.column_names}, **{f"e_{c}": pa.nulls(len(pairs), pa.binary()) for c in none}})
-
-    dealt = texts.select("doc", "text").mapInArrow(deal, BLOCK)
-    met = stored(dealt.groupBy("bucket", "lo").applyInArrow(meet, PAIR + "".join(f", e_{c} binary" for c in ENTRY)), "line-pairs")
-    pairs = met.where("later is not null").select("later", "earlier", "rank", "doc", "line")
+        """Pairs of a bucket of rare words; first lines; the distinct entries of common words as a block."""
+        e, lo = _read(table), table.column("lo")[0].as_py()
+        if lo == -2:
+            order = np.lexsort((e["line"], e["token"].view(np.int64), e["doc"], e["key"]))
+            k = e["key"][order]
+            keep = order[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else order
+            return _met_table(firsts={c: e[c][keep] for c in ("token", "key", "doc", "line")})
+        e = _distinct(e)
+        return _met_table(entries=e) if lo >= 0 else _met_table(_pair_table(_candidates(e, None, threshold, most, shared.value[2])))
+
+    dealt = texts.mapInArrow(deal, BLOCK)
+    met = stored(dealt.groupBy("bucket", "lo").applyInArrow(meet, MET_COLUMNS), "met")
+    pairs = met.where("later is not null").select(*PAIR)
     crowd = met.where("e_key is not null").select(*(F.col(f"e_{c}").alias(c) for c in ENTRY))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,48 +317,68 @@ def candidate_pairs(texts: DataFrame, codes: bytes, n_bytes: int, threshold: flo
             row = np.repeat(np.arange(len(n)), n)
             other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
-            spread = {c: e[c][row] for c in ENTRY}
-            yield _blocks(spread, (spread["token"] % np.uint64(buckets)).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))
+            copies = {c: e[c][row] for c in ENTRY}
+            yield _blocks(copies, (copies["token"] % np.uint64(buckets)).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))
 
     def meet_slices(table: pa.Table) -> pa.Table:
         e, lo, hi = _read(table), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         n = np.array([n_slices.get(int(t), 1) for t in e["token"].view(np.int64)], np.uint64)
-        return _pair_table(_candidates(e, None if lo == hi else e["key"] % n, threshold, most))
+        return _pair_table(_candidates(e, None if lo == hi else e["key"] % n, threshold, most, shared.value[2]))
+
+    sliced = crowd.mapInArrow(spread, BLOCK).groupBy("bucket", "lo", "hi").applyInArrow(meet_slices, PAIR_COLUMNS)
+    return pairs.union(sliced), met.where("doc is not null").select("key", "doc", "version", "line")
 
-    sliced = crowd.mapInArrow(spread, BLOCK).groupBy("bucket", "lo", "hi").applyInArrow(meet_slices, PAIR)
-    return pairs.union(sliced)
 
+def _has_bit(values: np.ndarray, table: bytes, size: int) -> np.ndarray:
+    place = mixed(values) % np.uint64(size)
+    bits = np.frombuffer(table, np.uint8)[(place >> np.uint64(3)).astype(np.int64)]
+    return ((bits >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
 
-def _sets_of(texts: DataFrame, keys: DataFrame, n_bits: int) -> DataFrame:
-    """key, words: the sets of at least the given keys. A filter of bits, built of the keys, leaves out most others."""
-    size = 1 << n_bits
+
+def _bit_filter(values: DataFrame) -> tuple[bytes, int]:
+    """A filter that has a bit for each value (column v), and so passes all of them and few others; at most 8 MB."""
+    size = 1 << min(26, max(16, (values.count() * 16).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((batch.column("key").to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64))], ["bit"])
+            place = mixed(batch.column("v").to_numpy().view(np.uint64)) % np.uint64(size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(place).astype(np.int64))], ["bit"])
 
-    places = keys.mapInArrow(bits, "bit long").groupBy((F.col("bit") / 65_536).cast("int").alias("part")).agg(
-        F.collect_set((F.col("bit") % 65_536).cast("int")).alias("bits")
-    )
+    parts = values.mapInArrow(bits, "bit long").groupBy((F.col("bit") / 65_536).cast("int").alias("part")).agg(F.collect_set((F.col("bit") % 65_536).cast("int")).alias("bits"))
     wanted = np.zeros(size, bool)
-    for r in places.toLocalIterator():  # at most `size` bits in all
+    for r in parts.toLocalIterator():
         wanted[r.part * 65_536 + np.array(r.bits)] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
+    return np.packbits(wanted).tobytes(), size
+
+
+def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(doc.astype(np.int64).view(np.uint64)) ^ line.astype(np.uint64)
+
+
+def sets_at(texts: DataFrame, positions: DataFrame) -> DataFrame:
+    """key, words: the sets of at least the lines at the given positions (doc, line). Only lines that pass a filter of bits are taken apart."""
+
+    def positioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _position(batch.column("doc").to_numpy(), batch.column("line").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64))], ["v"])
+
+    shared = texts.sparkSession.sparkContext.broadcast(_bit_filter(positions.mapInArrow(positioned, "v long")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches_of_text(batches):
-            s = line_sets(batch.column("text").to_pylist())
-            place = s.key % np.uint64(size)
-            hit = np.flatnonzero((table[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1)
-            _, first = np.unique(s.key[hit], return_index=True)
-            hit = hit[first]
-            stop = np.cumsum(s.size[hit])
-            mine = np.arange(stop[-1] if len(stop) else 0) + np.repeat(s.start[hit] - (stop - s.size[hit]), s.size[hit])
-            offsets = pa.array(np.append(0, stop), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(s.key[hit].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(s.hash[mine].view(np.int64)))], ["key", "words"])
+            parts = coded(batch.column("text").to_pylist())
+            joined = b"\n".join(parts) + b"\n"
+            ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            first = np.searchsorted(ends, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+            text = np.repeat(np.arange(len(parts)), np.diff(first))
+            hit = np.flatnonzero(_has_bit(_position(batch.column("doc").to_numpy()[text], np.arange(len(ends)) - first[text]), *shared.value))
+            s = line_sets([joined[a:b] for a, b in zip(starts[hit], ends[hit], strict=True)])
+            offsets = pa.array(np.append(s.start, len(s.hash)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(s.key.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(s.hash.view(np.int64)))], ["key", "words"])
 
-    return texts.select("text").mapInArrow(sets, "key long, words array<long>")
+    return texts.select("doc", "text").mapInArrow(sets, "key long, words array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -327,43 +390,37 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "later").join(b, "earlier").where(similar).select("later", "earlier").distinct()
 
 
-def near_removed(texts: DataFrame, codes: bytes, n_bytes: int, threshold: float, most: int = 4) -> DataFrame:
-    """Keys of the sets whose first line has an earlier similar line of another set."""
-    removed, tried = None, most
-    while True:
-        found = stored(candidate_pairs(texts, codes, n_bytes, threshold, tried).dropDuplicates(["later", "earlier"]) if removed is None else
-                       candidate_pairs(texts, codes, n_bytes, threshold, tried).dropDuplicates(["later", "earlier"]).join(open_keys, "later", "left_semi"), "candidates")
-        keys = found.select(F.col("later").alias("key")).union(found.select(F.col("earlier").alias("key")))
-        n_bits = min(26, max(16, (found.count() * 16).bit_length()))
-        sets = stored(_sets_of(texts, keys, n_bits).dropDuplicates(["key"]).join(keys.distinct(), "key", "left_semi"), "sets")
-        # the earliest candidate of each line first, then the others of lines that it doesn't remove
-        earliest = F.row_number().over(Window.partitionBy("later").orderBy("doc", "line", "earlier"))
-        ranked = stored(found.where(F.col("rank") < tried).withColumn("try", earliest).select("later", "earlier", "try"), "tries")
-        at_first = stored(verified(ranked.where("try = 1").select("later", "earlier"), sets, threshold).select("later").distinct(), "matches")
-        rest = ranked.where("try > 1").join(at_first, "later", "left_anti").select("later", "earlier")
-        matched = at_first.union(verified(rest, sets, threshold).select("later").distinct())
-        removed = stored(matched if removed is None else matched.union(removed), "removed")
-        open_keys = stored(found.where(F.col("rank") >= tried).select("later").distinct().join(removed, "later", "left_anti"), "open")
-        if open_keys.isEmpty():
-            return removed.select(F.col("later").alias("key")).distinct()
-        tried *= 16
-
-
 def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc, version, kept: the places of the lines of a text that stay; lines without words are not listed."""
     texts = _order_id(docs)
-    told = stored(
-        texts.mapInArrow(_keys_and_cells, "doc long, version long, keys array<long>, shard int, cells binary, counts binary"), "line-keys"
-    )
-    coded = told.where("shard is not null").select("shard", "cells", "counts").groupBy("shard").applyInArrow(_rarity_codes, "shard int, codes binary").toArrow()
+    told = stored(texts.select("text").mapInArrow(_cells, "shard int, cells binary, counts binary, n_bytes long"), "cells")
+    n_bytes = told.agg(F.sum("n_bytes")).first()[0] or 0
+    found = told.groupBy("shard").applyInArrow(_rarity_codes, "shard int, codes binary").toArrow()
     width = 1 << (CELL_BITS - SHARD_BITS)
-    by_shard = dict(zip(coded.column("shard").to_pylist(), coded.column("codes").to_pylist(), strict=True))
+    by_shard = dict(zip(found.column("shard").to_pylist(), found.column("codes").to_pylist(), strict=True))
     codes = b"".join(by_shard.get(k, bytes(width)) for k in range(1 << SHARD_BITS))  # one byte a cell
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    removed = near_removed(texts, codes, n_bytes, threshold)
-    lines = told.where("shard is null").select("doc", "version", F.posexplode("keys").alias("line", "key")).where("key is not null")
-    first = lines.groupBy("key").agg(F.min(F.struct("doc", "version", "line")).alias("at"))
-    stay = first.join(removed, "key", "left_anti").select("at.*")
+
+    met, firsts = meet_lines(texts, codes, n_bytes, threshold)
+    removed, most, wanted = None, 1, None
+    while True:
+        pairs = stored(met if removed is None else met.join(wanted, "later", "left_semi"), "candidates")
+        later = pairs.select(F.col("later_doc").alias("doc"), F.col("later_line").alias("line"))
+        earlier = pairs.select(F.col("earlier_doc").alias("doc"), F.col("earlier_line").alias("line"))
+        sets = stored(sets_at(texts, later.union(earlier).distinct()), "sets")
+        # the closest candidate of each line first, then the others of the lines that it doesn't remove
+        closest = F.row_number().over(Window.partitionBy("later").orderBy("distance", "earlier_doc", "earlier_line", "earlier"))
+        tries = stored(pairs.where("rank = 0").dropDuplicates(["later", "earlier"]).withColumn("try", closest).select("later", "earlier", "try"), "tries")
+        at_first = stored(verified(tries.where("try = 1").select("later", "earlier"), sets, threshold).select("later").distinct(), "matches")
+        rest = tries.where("try > 1").join(at_first, "later", "left_anti").select("later", "earlier")
+        matched = at_first.union(verified(rest, sets, threshold).select("later").distinct())
+        removed = stored(matched if removed is None else matched.union(removed), "removed")
+        wanted = stored(pairs.where("rank < 0").select("later").distinct().join(removed, "later", "left_anti"), "open")
+        if wanted.isEmpty():
+            break
+        words = sets.join(wanted.withColumnRenamed("later", "key"), "key", "left_semi").select(F.explode("words").alias("v"))
+        most *= 16
+        met, _ = meet_lines(texts, codes, n_bytes, threshold, most, (_bit_filter(words.distinct()), _bit_filter(wanted.select(F.col("later").alias("v")))))
+    stay = firsts.join(removed.select(F.col("later").alias("key")).distinct(), "key", "left_anti")
     return stay.groupBy("doc", "version").agg(F.collect_set("line").alias("kept"))
 
 
@@ -371,42 +428,44 @@ def line_count(text: Column) -> Column:
     return F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long")
 
 
-def kept_text(text: Column, removed: Column) -> Column:
-    """text without the lines at the removed places; null stays null."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(removed, i)), "\n")
+def _staying(text: Column, kept: Column) -> Column:
+    """The lines of a text that stay: those at the kept places, and those without words."""
+    return F.filter(F.split(text, "\n", -1), lambda x, i: F.array_contains(kept, i) | ~x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def kept_text(text: Column, kept: Column) -> Column:
+    """text without the lines that go; null stays null."""
+    return F.array_join(_staying(text, kept), "\n")
+
+
+def removed_count(text: Column, kept: Column) -> Column:
+    return line_count(text) - F.coalesce(F.size(_staying(text, kept)), F.lit(0))
 
 
-def line_decisions(docs: DataFrame, threshold: float = 0.8, name: str = "removed") -> DataFrame:
-    """docs with a column (of that name, which it replaces): the places (from 0) of the lines that match an earlier line, in order.
+def line_decisions(docs: DataFrame, threshold: float = 0.8, name: str = "kept") -> DataFrame:
+    """docs with a column (of that name, which it replaces): the places (from 0) of the lines with words that stay.
 
-    docs has doc_id and text; all columns stay. A line goes if an earlier line, by doc_id and place,
+    docs has doc_id and text; all other columns stay. A line goes if an earlier line, by doc_id and place,
     has a Jaccard similarity of words of at least the threshold, whether that one stays or not. Lines without words stay. Null ids come
     last; rows of one id are versions in the order of a hash of their texts, and repeated rows (same id and text) are
     one document, so that all keep the same lines. Null and empty texts lose nothing.
     """
-    kept = kept_lines(docs, threshold).withColumnRenamed("doc", "__doc").withColumnRenamed("version", "__version").withColumnRenamed("kept", "__kept")
-    # lines without words: nothing but the six white-space characters
-    worded = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()
-    )
-    joined = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__version", F.xxhash64("text")).join(
-        kept, ["__doc", "__version"], "left"
-    )
-    none = F.array().cast("array<int>")
-    removed = F.coalesce(F.array_except(worded, F.coalesce("__kept", none)), none)
-    return joined.withColumn(name, removed).drop("__doc", "__version", "__kept")
+    kept = kept_lines(docs, threshold).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("kept").alias("__kept"))
+    keyed = docs.drop(name).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__version", F.xxhash64("text"))
+    # hashing the short lists spares the sort of whole texts
+    joined = keyed.join(kept.hint("shuffle_hash"), ["__doc", "__version"], "left")
+    return joined.withColumn(name, F.coalesce("__kept", F.array().cast("array<int>"))).drop("__doc", "__version", "__kept")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs whose texts have lost the lines that match an earlier line; n_chars, where present, follows; a text that lost every line with words goes as a row.
 
-    All other columns stay as they are.
+    All other columns stay as they are. Lines go as in line_decisions().
     """
-    found = line_decisions(docs, threshold, "__removed")
-    lost = F.size("__removed") > 0
-    out = found.withColumn("text", F.when(lost, kept_text(F.col("text"), F.col("__removed"))).otherwise(F.col("text"))).where(
-        ~lost | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    )
+    found = line_decisions(docs, threshold, "__places").withColumn("__text", kept_text(F.col("text"), F.col("__places")))
+    worded = r"[^\x20\x09-\x0D]"
+    out = found.where(F.col("text").isNull() | (F.size("__places") > 0) | ~F.col("text").rlike(worded))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        lost = F.length("__text") < F.length("text")
+        out = out.withColumn("n_chars", F.when(lost, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__text")).select(*docs.columns)

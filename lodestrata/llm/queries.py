@@ -28,10 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_decisions(_table(spark, sf_dir, "documents"))
-    kept = line_dedup.kept_text(F.col("text"), F.col("removed"))
+    text, kept = F.col("text"), F.col("kept")
     return found.select(
-        "doc_id", line_dedup.line_count(F.col("text")).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
+        "doc_id", line_dedup.line_count(text).alias("n_lines"), line_dedup.removed_count(text, kept).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(line_dedup.kept_text(text, kept), F.lit("")), 256).alias("kept_sha256"),
     )
 
 

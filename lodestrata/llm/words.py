@@ -30,10 +30,14 @@ class Words(NamedTuple):
     text: np.ndarray  # position of the first word of each text, and the number of words
 
 
-def words_of(texts: list[str | None]) -> Words:
+def coded(texts: list[str | bytes | None]) -> list[bytes]:
+    return [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def words_of(texts: list[str | bytes | None]) -> Words:
     """The words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z in lower case; none for null."""
-    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = b"\n".join(coded).lower() + b"\n"  # bytes.lower() changes A-Z only
+    parts = coded(texts)
+    joined = b"\n".join(parts).lower() + b"\n"  # bytes.lower() changes A-Z only
     raw = np.frombuffer(joined + b"\0" * 8, np.uint8)
     space = _IS_SPACE[raw[:-8]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -49,7 +53,7 @@ def words_of(texts: list[str | None]) -> Words:
         h[more] = mixed(h[more] * _MIX_1 ^ part)
         at += 8
         more = more[size[more] > at]
-    bounds = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    bounds = np.cumsum([0, *(len(c) + 1 for c in parts)])
     return Words(raw, start, end, h, np.searchsorted(start, bounds))
 
 
