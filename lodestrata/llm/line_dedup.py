@@ -418,7 +418,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         if wanted.isEmpty():
             break
         words = sets.join(wanted.withColumnRenamed("later", "key"), "key", "left_semi").select(F.explode("words").alias("v"))
-        most *= 16
+        most *= 256  # few lines are left, so nearly all their candidates may come
         met, _ = meet_lines(texts, codes, n_bytes, threshold, most, (_bit_filter(words.distinct()), _bit_filter(wanted.select(F.col("later").alias("v")))))
     stay = firsts.join(removed.select(F.col("later").alias("key")).distinct(), "key", "left_anti")
     return stay.groupBy("doc", "version").agg(F.collect_set("line").alias("kept"))

@@ -239,8 +239,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, least_steps: int = 100
             used = used[used >= 0]
             small = Vocabulary(used, v.row[used], v.gram[_ranges(v.start[used], n_grams[used])], np.cumsum(n_grams[used]) - n_grams[used])
             x = net.inputs(small)
+            # words are left out at random, so that windows are not known by their rare words
+            seen = np.ones(x.shape, np.float32)
+            seen[:-1, :DIM] = rng.random((len(used), 1)) < 0.5
+            seen[:-1] *= rng.random((len(used), 1)) < 0.8
+            x *= seen
             logit, memory = net.forward(local, x, keep=True)
             grad, to_x = net.backward(local, x, memory, (_sigmoid(logit) - y[text[part]]).astype(np.float32) / len(part))
+            to_x *= seen
             rows = {"word": (small.row, to_x[:-1, :DIM])}
             per_gram = np.repeat(to_x[:-1, DIM:] * small.scale()[:, None], n_grams[used], axis=0)
             rows["gram"] = (small.gram, per_gram)
@@ -276,7 +282,7 @@ def _scaled(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_other: int = 3000, max_chars: int = 4000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_other: int = 3000, max_chars: int = 6000) -> DataFrame:
     """A toxicity score of each whole text.
 
     docs has doc_id and text, labels has doc_id and toxic; other columns are ignored. Returns one

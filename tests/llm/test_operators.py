@@ -1,0 +1,244 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.llm import ann_forest, decontam, line_dedup, mixing, ngram_lm, secret_scan, token_counts, toxicity
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+EDGES = [(1, None, "x"), (2, "", None), (2, "", None), (None, "a b c d e f", "x"), (3, "y " * 30_000, "y")]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, "doc_id long, text string, source string").withColumn("score", F.lit(1)).withColumn("key", F.lit("k")).withColumn("kept", F.lit(0))
+
+
+def test_neighbours_against_brute_force(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = v.orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = defaultdict(list)
+    for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0, least=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = np.lexsort((ids, -scores))[:20]
+        found = got[ids[q]]
+        assert len(found) == 20 and all(abs(s - x[np.searchsorted(ids, i)] @ x[q]) < 1e-12 for i, s in found)
+        hits += len({i for i, _ in found} & set(ids[best]))
+    assert hits / (20 * len(got)) >= 0.9  # of 500 rows 300 are met; by default blocks of up to 2048 rows are met whole
+
+
+def test_neighbours_edges(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    got = [tuple(r) for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 6, -1.0)]
+    assert ann_forest.nearest(v.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def plain_lines(rows, threshold=0.8):
+    seen, sets, gone = [], {}, set()
+    for doc, i, s in sorted((d, i, frozenset(words(x))) for d, t in rows for i, x in enumerate((t or "").split("\n"))):
+        if not s:
+            continue
+        if s in sets or any(len(s & o) >= threshold * len(s | o) - 1e-9 for o in seen):
+            gone.add((doc, i))
+        if s not in sets:
+            seen.append(s)
+            sets[s] = 1
+    return gone
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    base = [[f"w{k}" for k in rng.integers(0, 400, n)] for n in rng.integers(1, 40, 30)]
+    texts = []
+    for d in range(60):
+        lines = []
+        for b in rng.integers(0, 30, 4):
+            line = list(base[b])
+            for _ in range(rng.integers(0, 4)):
+                line[rng.integers(0, len(line))] = f"w{rng.integers(0, 400)}"
+            lines.append(" ".join(line))
+        texts.append((d, "\n".join([*lines, ""])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, i) for r in line_dedup.line_decisions(docs).collect() for i, x in enumerate(r.text.split("\n")) if words(x) and i not in r.kept}
+    assert got == plain_lines(texts)
+
+
+def test_lines_of_common_words_meet_in_slices():
+    rng = np.random.default_rng(5)
+    n = 300
+    e = {"token": np.full(n, 7, np.uint64), "key": rng.permutation(n).astype(np.uint64), "doc": np.arange(n), "line": np.zeros(n, np.int32),
+         "size": np.full(n, 10, np.int32), "place": np.zeros(n, np.int32), "sketch": rng.integers(0, 2, n).astype(np.uint64)}
+    pairs = lambda f: set(zip(f["later"].tolist(), f["earlier"].tolist(), strict=True))
+    whole = pairs(line_dedup._candidates(e, None, 0.8, 10_000))
+    side, parts = e["key"] % np.uint64(3), set()
+    for lo in range(3):
+        for hi in range(lo, 3):
+            pick = np.isin(side, [lo, hi])
+            part = {c: x[pick] for c, x in e.items()}
+            parts |= pairs(line_dedup._candidates(part, None if lo == hi else side[pick], 0.8, 10_000))
+    assert parts == whole and len(whole) == n * (n - 1) // 2
+
+
+def test_line_edges(edges):
+    got = line_dedup.dedup_lines(edges)
+    assert got.columns == edges.columns and got.count() == 5
+    assert line_dedup.dedup_lines(edges.limit(0)).collect() == []
+
+
+def test_network_gradient():
+    net = toxicity.Network()
+    net.p = {k: v.astype(float) * 5 for k, v in net.p.items()}
+    w = toxicity.words_of(["a bb ccc dd e f g " * 9, "xx yy"])
+    v = toxicity.vocabulary(w)
+    ids = toxicity.window_words(w, v, *toxicity.windows(w))
+    x, y = net.inputs(v).astype(float), np.eye(1, len(ids))[0]
+    score, memory = net.forward(ids, x, keep=True)
+    grad, _ = net.backward(ids, x, memory, 1 / (1 + np.exp(-score)) - y)
+
+    def loss():
+        s = net.forward(ids, x)
+        return (np.log1p(np.exp(s)) - y * s).sum()
+
+    for name in ("out", "attention", "u", "x", "b"):
+        at = tuple(n // 2 for n in net.p[name].shape)
+        old = net.p[name][at]
+        net.p[name][at] = old + 0.01
+        up = loss()
+        net.p[name][at] = old - 0.01
+        slope, net.p[name][at] = (up - loss()) / 0.02, old
+        assert abs(slope - grad[name][at]) < 1e-3 + 0.02 * abs(slope)
+
+
+def test_windows_cover_every_word():
+    w = toxicity.words_of(["a " * 100, None, "b", "c " * 32, "d " * 33])
+    first, text = toxicity.windows(w)
+    covered = {i for f, t in zip(first, text, strict=True) for i in range(f, min(f + toxicity.WINDOW, w.text[t + 1]))}
+    assert covered == set(range(len(w.hash)))
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.score_toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    hit = (got.score >= 0.5) == (got.toxic == 1)
+    # some 320 toxic texts are learned from here; with five times as many the tool's small tables gave no error at all
+    assert hit.mean() > 0.97 and hit[got.toxic == 1].mean() > 0.85
+
+
+def test_toxicity_edges(spark, edges):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    assert all(r.score == 0.5 for r in toxicity.score_toxicity(edges, labels).collect())
+    assert toxicity.score_toxicity(edges.limit(0), labels).collect() == []
+
+
+def test_lm_against_plain_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in ngram_lm.score_lm(docs).collect()}
+    rows = docs.collect()
+    tokens = {r.doc_id: [*words(r.text), b"</s>"] for r in rows}
+    learned = [d for d in tokens if zlib.crc32(str(d).encode()) % 5 != 1]
+    uni, big = Counter(), Counter()
+    for d in learned:
+        uni.update(tokens[d])
+        big.update(zip([b"<s>", *tokens[d][:-1]], tokens[d], strict=True))
+    n, kinds, after, followed, facts = sum(uni.values()), len(uni), Counter(b for _, b in big), Counter(), defaultdict(lambda: [0, 0, 0])
+    for (a, _), c in big.items():
+        followed[a] += c
+        facts[a][min(c, 3) - 1] += 1
+    counts = lambda values: ngram_lm.discounts(np.array([Counter(values)[k] for k in (1, 2, 3, 4)]))
+    d2, d1 = counts(big.values()), counts(after.values())
+    left = sum(d1[min(c, 3) - 1] for c in after.values())
+    off = lambda c, d: c - d[min(c, 3) - 1] if c else 0
+    p1 = lambda w: off(after[w], d1) / len(big) + left / len(big) / (kinds + 1)
+
+    def p(a, w):
+        if not followed[a]:
+            return p1(w)
+        return off(big[a, w], d2) / followed[a] + sum(x * y for x, y in zip(d2, facts[a], strict=True)) / followed[a] * p1(w)
+
+    assert abs(sum(p(b"<s>", w) for w in uni) + p(b"<s>", b"\x00new") - 1) < 1e-9
+    for d, t in tokens.items():
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(uni[w] > 0 for w in t), n)
+        assert abs(r.score - sum(math.log10(p(a, w)) for a, w in zip([b"<s>", *t[:-1]], t, strict=True))) < 1e-6
+        assert abs(r.base_score - sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (kinds + 1))) for w in t)) < 1e-6
+
+
+def test_lm_edges(edges):
+    assert [r.n_tokens for r in ngram_lm.score_lm(edges).orderBy("n_tokens").collect()] == [1, 1, 1, 7, 30_001]
+    assert ngram_lm.score_lm(edges.limit(0)).collect() == []
+
+
+def test_token_counts_against_the_library(spark, sf_dir, edges):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["a<|endoftext|>b", "İstanbul ΣΑΣ ﬁ 1234½ it's I'M '' \x1c\x1fa\x0bb \x85 中文 😀", "x" * 3000, "don't " * 3000]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(list(enumerate(odd, 10**6)), "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in token_counts.token_counts(docs, path).collect()}
+    assert all(got[d].n_tokens == len(library.encode(t, add_special_tokens=False).ids) and got[d].n_bytes == len(t.encode()) for d, t in texts.items())
+    t = token_counts.compiled(path)
+    assert all(token_counts.count_tokens(t, x, 7) == t.count(x) for x in odd[1:])
+    assert sorted(r.n_tokens for r in token_counts.token_counts(edges, path).collect())[:3] == [0, 0, 0]
+
+
+def test_remaining_edges(spark, edges):
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, None), (None, "y y y")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): r for r in decontam.contamination(edges, items).collect()}
+    assert got[None, 6].contaminated and got[3, 30_000].n_hit == 30_000 and not got[1, 0].contaminated
+    assert decontam.contamination(edges.limit(0), items).collect() == []
+    mixed = mixing.mix_sources(edges).collect()
+    assert len(mixed) == 5 and all(0 <= r.taken <= 2 * r.size for r in mixed)
+    assert mixing.mix_sources(edges.limit(0)).collect() == []
+    assert len(secret_scan.scan_secrets(edges).collect()) == 5 and secret_scan.scan_secrets(edges.limit(0)).collect() == []
+
+
+def test_base_secrets_against_plain_patterns(spark):
+    import re
+
+    texts = ["password = hunter22 x", "API_KEY:'abcDEF123' AKIA" + "A1" * 10, "f" * 24 + " " + "0" * 23, "token=short", "é secret: zzzzzzzz"]
+    got = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in got:
+        t = texts[r.doc_id]
+        want = [(m.start(), m.end(), 0) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [tuple(s) for s in r.spans if s.kind < 3] == sorted(want, key=lambda s: (s[0], s[2]))
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = line_dedup.stored(stage(spark, before, sf_dir), name)
+        assert after.count() <= before.count() and after.count() > 0
+        if name == "lines":
+            gone, kept = plain_lines([(r.doc_id, r.text) for r in before.collect()]), {}
+            for r in before.collect():
+                left = [x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone]
+                if any(words(x) for x in left) or not words(r.text):
+                    kept[r.doc_id] = "\n".join(left)
+            assert {r.doc_id: r.text for r in after.collect()} == kept
+        if name != "mix":
+            assert after.columns == docs.columns
+            before = after
