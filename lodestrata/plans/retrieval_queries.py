@@ -159,13 +159,20 @@ FROM h LEFT JOIN n USING (query_id)"""
 
 
 def containment_join(spark, sf_dir):
-    """Documents that hold a whole benchmark text, looked up by its rarest-looking (longest) word before the texts are compared."""
+    """Documents that hold a whole benchmark text, looked up by its longest inner word before the texts are compared.
+
+    Inner words are neither an item's first nor its last, so a document that holds the item has them whole. Items
+    without one (up to two words, or blank) are compared with every document. The benchmark is a query set and broadcast.
+    """
     longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), longest(T.tokens(F.col("text"))).alias("word")).where("word is not null")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    near = words.join(F.broadcast(items.select("word").distinct()), "word")
-    found = near.join(items, "word").join(table(spark, sf_dir, "documents"), "doc_id")
-    return found.where(F.contains("text", "item")).select("item_id", "doc_id")
+    ws = T.tokens(F.col("text"))
+    inner = F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), longest(inner).alias("word")).where("item is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    looked_up = docs.select("doc_id", "text", F.explode(F.array_distinct(ws)).alias("word")).join(F.broadcast(items.where("word is not null")), "word")
+    others = docs.crossJoin(F.broadcast(items.where("word is null").drop("word")))
+    held = lambda df: df.where(F.contains("text", "item")).select("item_id", "doc_id")
+    return held(looked_up).union(held(others))
 
 
 CONTAINS = "SELECT item_id, doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)"

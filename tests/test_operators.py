@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import filters, text, vector
 from lodestrata.operators import chunks, graph, memory, retrieval
+from lodestrata.plans import retrieval_queries
 from lodestrata.sources import conversations as C
 from lodestrata.sources import store
 from lodestrata.streaming import events as S
@@ -95,3 +96,14 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     q = S.hourly_counts(S.read_events(spark, folder)).writeStream.outputMode("complete").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, S.hourly_counts(batch).collect()))
+
+
+def test_containment_is_of_substrings(spark, tmp_path):
+    items = [(1, "see the longestword"), (2, "longestword we see"), (3, "  "), (4, "two words"), (5, ""), (6, None), (7, "a Middle b"), (8, "word")]
+    docs = [(1, "x see the longestword.&&&"), (2, "(longestword we seek"), (3, "a middle b\n\x0btwo wordsy  "), (4, "sa Middle bx"), (5, None), (6, ""), (7, "sa Middle bx "),
+            (7, "other two words"), (7, "two words"), (None, "two words")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in retrieval_queries.containment_join(spark, str(tmp_path)).collect()]
+    want = [(i, d) for i, item in items for d, text in docs if item is not None and text is not None and item in text]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
