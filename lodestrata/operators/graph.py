@@ -41,6 +41,7 @@ def personal_rank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, roun
     """node, score after a fixed number of rounds of x = (1 - damping) * r + damping * W x over undirected weighted edges.
 
     edges: src, dst, weight; reset: node, r (scaled to sum 1 here). Nodes without edges keep their share of r.
+    Scores are not rounded, as they sum to 1 and grow smaller with the graph.
     """
     w = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = w.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -56,7 +57,7 @@ def personal_rank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, roun
         )
         if n % 4 == 3 and x.sparkSession.sparkContext.getCheckpointDir():
             x = x.checkpoint()
-    return x.select("node", rounded(F.col("score")).alias("score"))
+    return x.select("node", "score")
 
 
 def metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:

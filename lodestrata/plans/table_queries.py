@@ -318,10 +318,15 @@ ISOLATED = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_cust
 
 
 def personal_rank_fixed_rounds(spark, sf_dir):
-    """Ranks of customers and suppliers from a reset on the suppliers of the first nation."""
+    """Ranks of customers and suppliers from a reset on the suppliers of the first nation: all nodes reached in four rounds.
+
+    Scores have six decimals as in the SQL, which leaves out those that round to 0; here these have six significant digits instead.
+    """
     trade = _trade(spark, sf_dir).withColumn("weight", F.lit(1.0))
     reset = table(spark, sf_dir, "supplier").where("s_nationkey = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("r"))
-    return G.personal_rank(trade, reset, 0.5, 4).where("score > 0")
+    score = rounded(F.col("score"))
+    digits = F.format_string("%.5e", F.col("score")).cast("double")
+    return G.personal_rank(trade, reset, 0.5, 4).where("score > 0").select("node", F.when(score > 0, score).otherwise(digits).alias("score"))
 
 
 _ROUND = """x{1} AS (SELECT coalesce(r.node, m.dst) AS node, coalesce(r, 0) * 0.5 + coalesce(s, 0) * 0.5 AS score FROM r FULL JOIN

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import filters, text, vector
 from lodestrata.operators import chunks, graph, memory, retrieval
-from lodestrata.plans import retrieval_queries
+from lodestrata.plans import retrieval_queries, table_queries
 from lodestrata.sources import conversations as C
 from lodestrata.sources import store
 from lodestrata.streaming import events as S
@@ -107,3 +107,26 @@ def test_containment_is_of_substrings(spark, tmp_path):
     got = [tuple(r) for r in retrieval_queries.containment_join(spark, str(tmp_path)).collect()]
     want = [(i, d) for i, item in items for d, text in docs if item is not None and text is not None and item in text]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_small_ranks_stay(spark, tmp_path):
+    # supplier 0 - customers 0-39; customer 0 - suppliers 1-40; supplier 1 - customers 100-139; customer 100 - suppliers 100-139
+    trade = [(c, 0) for c in range(40)] + [(0, s) for s in range(1, 41)] + [(c, 1) for c in range(100, 140)] + [(100, s) for s in range(100, 140)]
+    tables = {"orders": ("o_orderkey long, o_custkey long", [(n, c) for n, (c, _) in enumerate(trade)]), "lineitem": ("l_orderkey long, l_suppkey long", [(n, s) for n, (_, s) in enumerate(trade)]),
+              "supplier": ("s_suppkey long, s_nationkey long", [(s, int(s > 0)) for s in range(140)])}
+    for name, (kind, rows) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.node: r.score for r in table_queries.personal_rank_fixed_rounds(spark, str(tmp_path)).collect()}
+    links = {}
+    for c, s in trade:
+        links.setdefault(f"c{c}", []).append(f"s{s}")
+        links.setdefault(f"s{s}", []).append(f"c{c}")
+    x = {"s0": 1.0}
+    for _ in range(4):
+        after = {"s0": 0.5}
+        for node, score in x.items():
+            for other in links[node]:
+                after[other] = after.get(other, 0.0) + 0.5 * score / len(links[node])
+        x = after
+    assert set(got) == set(x) == set(links) and min(x.values()) < 5e-7
+    assert all(abs(got[n] - x[n]) <= (5.01e-7 if x[n] >= 5e-7 else 1e-5 * x[n]) for n in x)
