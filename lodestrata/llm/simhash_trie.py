@@ -47,7 +47,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_py()) for x in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fingerprint"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(prints)], [*others, "fingerprint"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -195,12 +196,23 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """docs without the near-copies: of each component the document with the smallest doc_id stays.
+    """docs without the near-copies: of each component the text with the smallest (doc_id, hash of the text) stays.
 
-    Of rows that repeat that doc_id, one stays; rows with a null doc_id, which name no document, all stay. All columns stay.
+    Different texts of one doc_id are apart: each goes or stays with its own component. Of rows that repeat both, one stays, the same on each
+    run (maps don't count in that choice); rows with a null doc_id, which name no document, all stay. All columns stay.
     """
-    kept = simhash_components(docs, budget).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    keyed = docs.where("doc_id is not null").withColumn("text_hash_", F.xxhash64("text"))
+    prints = keyed.select(F.col("doc_id").cast("long"), "text_hash_", "text").mapInArrow(_fingerprints, "doc_id long, text_hash_ long, fingerprint long")
+    prints = stored(prints, "fingerprints")
+    # fingerprints are their own ids here, as one doc_id may have several
+    found = components(trie_links(stored(prints.select("fingerprint", F.col("fingerprint").alias("id")).distinct(), "distinct"), budget))
+    placed = prints.join(found, F.col("fingerprint") == F.col("node"), "left")
+    kept = placed.groupBy(F.coalesce("component", "fingerprint")).agg(F.min(F.struct("doc_id", "text_hash_")).alias("first")).select("first.*").distinct()
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = keyed.join(kept, ["doc_id", "text_hash_"], "left_semi").groupBy("doc_id", "text_hash_").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")
+    )
+    return one.select("row.*").union(docs.where("doc_id is null"))
 
 
 def hex_print(column: Column) -> Column:

@@ -80,3 +80,16 @@ def test_edges(spark):
     got = S.simhash_components(spark.createDataFrame(rows, kind)).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 7), (3, 3), (5, 3), (7, 7), (9, 3), (9, 3)]
     assert S.simhash_components(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_different_texts_of_one_id_stay_apart(spark):
+    a, b, c = ("the first text has its own words", "nothing alike stands in another version", "a third one that is far from both of them")
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b.upper(), "x"), (3, a, "x"), (4, c, "x"), (None, a, "x"), (5, None, "x"), (5, "", "x")]
+    stays = []
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string, source string").repartition(parts)
+        got = S.near_dedup(df)
+        assert got.columns == df.columns
+        stays.append(sorted((tuple(r) for r in got.collect()), key=repr))
+    assert stays[0] == stays[1] and [r[0] for r in stays[0]] == [1, 1, 4, 5, None]
+    assert {r[1] for r in stays[0] if r[0] == 1} == {a, b}
