@@ -1,9 +1,12 @@
-"""SimHash near-dedup: fingerprints linked by a self-join of the binary trie over them.
-
-The join follows pairs of trie nodes of one depth together, from the root paired with itself: the
-children of a pair are paired with each other, a pair on different branches spends one bit of the
-Hamming budget, and a pair that has overspent is dropped. The pairs of the upper levels are keys of
-a shuffle; below each of them the traversal runs on sorted arrays, in which a node is a range.
+"""SimHash near-dedup: fingerprints linked by a self-join of binary tries over them.
+
+The join follows pairs of trie nodes of one depth together: the children of a pair are paired with
+each other, a pair on different branches spends one bit of the Hamming budget, and a pair that has
+overspent is dropped. To keep the upper levels of a huge trie from being paired at all, the bits are
+cut into budget + 2 segments: two fingerprints within the budget agree on two whole segments at
+least, so in one of the tries that read these two first they share the upper half. There the budget
+is zero, each node is paired with itself alone, and every trie holds every fingerprint once.
+The traversal runs on sorted arrays, in which a node is a range.
 """
 
 from __future__ import annotations
@@ -56,13 +59,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fingerprint long")
 
 
-def linked(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) with a[i] and b[j] at most `budget` bits apart below `depth`; both are sorted and alike above.
+def linked(prints: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of prints at most `budget` bits apart in the same node; nodes are the ranges [lo, hi) at `depth` of the sorted prints.
 
-    same: a is b, and each pair comes once.
+    Each pair of a node comes once.
     """
-    one = lambda x: np.array([x], np.int64)
-    stack = [(depth, one(0), one(len(a)), one(0), one(len(b)), one(budget), np.array([same]))]
+    stack = [(depth, lo, hi, lo, hi, np.full(len(lo), budget), np.ones(len(lo), bool))]
     while stack:
         level, la, ha, lb, hb, left, twin = stack.pop()
         if len(la) > 500_000:  # one half waits, so that a level of many pairs stays small
@@ -76,16 +78,14 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) ->
             pair = np.repeat(np.arange(len(total)), total)
             at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
             i, j = la[few][pair] + at // nb[pair], lb[few][pair] + at % nb[pair]
-            near = (np.bitwise_count(a[i] ^ b[j]) <= budget_of(a, b, depth, budget)) & (~twin[few][pair] | (i < j))
+            near = (np.bitwise_count(prints[i] ^ prints[j]) <= budget) & (~twin[few][pair] | (i < j))
             if near.any():
                 yield i[near], j[near]
             la, ha, lb, hb, left, twin = (x[~few] for x in (la, ha, lb, hb, left, twin))
         if not len(la):
             continue
-        shift = np.uint64(63 - level)
-        zeros = lambda x: np.concatenate([[0], np.cumsum(((x >> shift) & ONE) == 0)])
-        za, zb = zeros(a), zeros(b)
-        ma, mb = la + za[ha] - za[la], lb + zb[hb] - zb[lb]
+        zeros = np.concatenate([[0], np.cumsum(((prints >> np.uint64(63 - level)) & ONE) == 0)])
+        ma, mb = la + zeros[ha] - zeros[la], lb + zeros[hb] - zeros[lb]
         apart, cross = left > 0, ~twin
         parts = [
             (la, ma, lb, mb, left, twin), (ma, ha, mb, hb, left, twin),
@@ -98,12 +98,6 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int) ->
             stack.append((level + 1, *(x[alive] for x in joined)))
 
 
-def budget_of(a: np.ndarray, b: np.ndarray, depth: int, budget: int) -> int:
-    """The budget with the bits that were spent above `depth`, where all of a and all of b are alike."""
-    above = np.uint64(0) if depth == 0 else ~np.uint64((1 << (64 - depth)) - 1)
-    return budget + int(np.bitwise_count((a[0] ^ b[0]) & above))
-
-
 def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """For each of n nodes the smallest node of its component."""
     root = np.arange(n)
@@ -118,65 +112,82 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray
     return root
 
 
-def _block_links(budget: int, depth: int):
-    def links(key: tuple, table: pa.Table) -> pa.Table:
-        lo, hi = key[0].as_py(), key[1].as_py()
-        prints = table.column("fingerprint").to_numpy().view(np.uint64)
-        ids, high = table.column("id").to_numpy(), table.column("high").to_numpy()
-        # rows of one slice of one prefix may come as both sides
-        left, spent = budget - (lo ^ hi).bit_count(), lo != hi
-        order = np.argsort(prints, kind="stable")
-        a, b = order[high[order] == 0], order[high[order] == 1]
-        if lo == hi and not len(b):
-            b, spent = a, False
-        elif len(a) and len(b):
-            spent = True
-        if not len(a) or not len(b):
-            root = np.arange(len(prints))
-        else:
-            same = b is a
-            root = forest(((a[i], b[j]) for i, j in linked(prints[a], prints[b], same, depth, left)), len(prints))
-        of = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(ids[of], pa.int64()), "b": pa.array(ids[root[of]], pa.int64())})
+def _node_links(depth: int, budget: int, least: int = 65_536):
+    """Links within the nodes at `depth` of tries, whose rows come sorted by trie and bits; a spanning forest of each part of the stream."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def whole(last: bool) -> pa.RecordBatch:
+            """The links of what is held, but for the last node if more of it may come; that stays held."""
+            trie, bits, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            node = bits >> np.uint64(64 - depth)
+            start = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (trie[1:] != trie[:-1])]))
+            end = np.append(start[1:], len(bits))
+            upto = len(start) - (not last)
+            held[:] = [] if last else [(trie[start[-1] :], bits[start[-1] :], ids[start[-1] :])]
+            pick = np.flatnonzero(end[:upto] - start[:upto] > 1)
+            root = forest(linked(bits, start[pick], end[pick], depth, budget), len(bits))
+            of = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(ids[root[of]])], ["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column("trie").to_numpy(), batch.column("bits").to_numpy().view(np.uint64), batch.column("id").to_numpy()))
+            if sum(len(x[0]) for x in held) >= least:
+                yield whole(False)
+        if held:
+            yield whole(True)
 
     return links
 
 
-def trie_links(prints: DataFrame, budget: int = 2, block_rows: int = 8192) -> DataFrame:
+def _reordered(bits: Column, upto: int, parts: int) -> list[tuple[Column, int]]:
+    """For each two of the segments into which the bits after `upto` are cut: bits with these two moved ahead, and how many bits are then fixed."""
+    edges = [upto + (64 - upto) * k // parts for k in range(parts + 1)]
+    segments = list(zip(edges, edges[1:], strict=False))
+    out = []
+    for two in combinations(range(parts), 2):
+        order = [segments[k] for k in two] + [x for k, x in enumerate(segments) if k not in two]
+        moved, at = bits.bitwiseAND(F.lit(-1 << (64 - upto) if upto else 0).cast("long")), upto
+        for lo, hi in order:
+            part = F.shiftrightunsigned(bits, 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+            at += hi - lo
+            moved = moved.bitwiseOR(F.shiftleft(part, 64 - at))
+        out.append((moved, upto + sum(hi - lo for lo, hi in order[:2])))
+    return out
+
+
+def _in_tries(rows: DataFrame, upto: int, budget: int) -> tuple[DataFrame, int]:
+    """rows (trie, bits, id) dealt to the tries of the next two segments, and the depth to which the budget is zero in all of them."""
+    orders = _reordered(F.col("bits"), upto, budget + 2)
+    depth = min(fixed for _, fixed in orders)
+    tries = F.array(*(F.struct((F.col("trie") * len(orders) + k).cast("int").alias("trie"), moved.alias("bits")) for k, (moved, _) in enumerate(orders)))
+    return rows.select(F.explode(tries).alias("t"), "id").select("t.trie", "t.bits", "id"), depth
+
+
+def trie_links(prints: DataFrame, budget: int = 2, most_rows: int = 65_536) -> DataFrame:
     """Distinct fingerprints (fingerprint, id) to links (a, b) between ids whose components are those of all pairs within budget.
 
-    Each block, a pair of upper trie nodes, gives a spanning forest of its links, so a cluster gives
-    no more links than it has members in the block. An upper node with over block_rows
-    fingerprints is cut into slices, and each pair of slices is a block of its own.
+    Each task gives spanning forests of the links it finds, so a cluster gives no more links than
+    it has members in the tries. A fingerprint is in six tries (at a budget of 2), whatever the
+    number of rows. A node of over most_rows fingerprints at half depth is dealt once more, by the
+    remaining bits, to six tries in which three quarters of the bits are fixed, so that no node has over 65,536.
     """
-    rows = prints.count()
-    depth = min(24, max(0, (rows // block_rows).bit_length()))
-    prefix = F.shiftrightunsigned("fingerprint", 64 - depth) if depth else F.lit(0).cast("long")
-    placed = prints.withColumn("prefix", prefix)
-    crowded = stored(
-        placed.groupBy("prefix").count().where(F.col("count") > block_rows)
-        .select("prefix", F.ceil(F.col("count") / block_rows).cast("int").alias("slices")), "crowded",
-    )
+    tried, depth = _in_tries(prints.select(F.lit(0).alias("trie"), F.col("fingerprint").alias("bits"), "id"), 0, budget)
+    node = F.shiftrightunsigned("bits", 64 - depth).alias("node")
+    kinds = "a long, b long"
+
+    def links(rows: DataFrame, depth: int) -> DataFrame:
+        dealt = rows.repartition("trie", F.shiftrightunsigned("bits", 64 - depth)).sortWithinPartitions("trie", "bits")
+        return dealt.select("trie", "bits", "id").mapInArrow(_node_links(depth, budget), kinds)
+
+    if prints.count() <= most_rows:  # no node can have more
+        return links(tried, depth)
+    crowded = stored(tried.groupBy("trie", node).count().where(F.col("count") > most_rows).select("trie", "node"), "crowded")
     crowded = small_enough(crowded, 100_000)
-    masks = [sum(1 << x for x in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    own = crowded.withColumnRenamed("slices", "own_slices")
-    other = crowded.select(F.col("prefix").alias("other"), F.col("slices").alias("other_slices"))
-    both = (
-        placed.join(own, "prefix", "left")
-        .withColumn("slice", F.pmod(F.xxhash64("fingerprint"), F.coalesce("own_slices", F.lit(1))).cast("int"))
-        .select("fingerprint", "id", "prefix", "slice", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask"))
-        .withColumn("other", F.col("prefix").bitwiseXOR(F.col("mask")))
-        .join(other, "other", "left")
-        .select("*", F.explode(F.sequence(F.lit(0), F.coalesce("other_slices", F.lit(1)) - 1)).alias("with"))
-    )
-    # of a prefix paired with itself, slices i <= j are a block, and i = j is one side only
-    up: Column = (F.col("prefix") < F.col("other")) | ((F.col("mask") == 0) & (F.col("slice") <= F.col("with")))
-    keyed = both.select(
-        F.least("prefix", "other").alias("lo"), F.greatest("prefix", "other").alias("hi"),
-        F.when(up, F.col("slice")).otherwise(F.col("with")).alias("i"), F.when(up, F.col("with")).otherwise(F.col("slice")).alias("j"),
-        F.when(up, 0).otherwise(1).alias("high"), "fingerprint", "id",
-    )
-    return keyed.groupBy("lo", "hi", "i", "j").applyInArrow(_block_links(budget, depth), "a long, b long")
+    tried = tried.withColumn("node", node)
+    again, deeper = _in_tries(tried.join(crowded, ["trie", "node"], "left_semi").select("trie", "bits", "id"), depth, budget)
+    return links(tried.join(crowded, ["trie", "node"], "left_anti"), depth).union(links(again, deeper))
 
 
 def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:

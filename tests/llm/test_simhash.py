@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -60,12 +61,37 @@ def test_components_match_all_pairs(spark):
     rows = [(p - 2**64 if p >= 2**63 else p, i) for p, i in zip(prints, ids, strict=True)]
     df = spark.createDataFrame(rows, "fingerprint long, id long")
     want = plain_components(ids, prints)
-    for block_rows in (16, 64, 8192):
-        links = S.trie_links(df, 2, block_rows)
+    for most_rows in (2, 16, 8192):
+        links = S.trie_links(df, 2, most_rows)
         found = {r.node: r.component for r in S.components(links).collect()}
         assert {i: found.get(i, i) for i in ids} == want
 
 
+def test_crowded_nodes_match_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    # half of the fingerprints are alike in their first or their last 32 bits, many of these within the budget
+    prints = [int(x) for x in rng.integers(0, 2**63, 40)] + [5 << 40 | int(x) for x in rng.integers(0, 600, 150)] + [int(x) << 41 | 77 for x in rng.integers(0, 600, 150)]
+    prints = list(dict.fromkeys(prints))
+    ids = list(range(len(prints)))
+    df = spark.createDataFrame(list(zip(prints, ids, strict=True)), "fingerprint long, id long")
+    want = plain_components(ids, prints)
+    for most_rows in (8, 100):
+        found = {r.node: r.component for r in S.components(S.trie_links(df, 2, most_rows)).collect()}
+        assert {i: found.get(i, i) for i in ids} == want
+
+
+def test_links_of_a_stream_in_small_parts():
+    rng = np.random.default_rng(6)
+    bits = np.sort(rng.integers(0, 4, 300).astype(np.uint64) << np.uint64(62) | rng.integers(0, 2**10, 300).astype(np.uint64))
+    table = pa.table({"trie": np.zeros(300, np.int32), "bits": bits.view(np.int64), "id": np.arange(300)})
+    for least in (1, 40, 1000):
+        found = pa.Table.from_batches(S._node_links(2, 2, least)(iter(table.to_batches(max_chunksize=7))))
+        root = S.forest(iter([(found.column("a").to_numpy(), found.column("b").to_numpy())]), 300)
+        pairs = [(i, j) for i in range(300) for j in range(i) if bits[i] >> np.uint64(62) == bits[j] >> np.uint64(62) and (int(bits[i]) ^ int(bits[j])).bit_count() <= 2]
+        i, j = (np.array(x) for x in zip(*pairs, strict=True))
+        assert (root == S.forest(iter([(i, j)]), 300)).all()
+
+
 def test_whole_operator(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
