@@ -21,12 +21,11 @@ def edges(spark):
     return spark.createDataFrame(EDGES, "doc_id long, text string, source string").withColumn("score", F.lit(1)).withColumn("key", F.lit("k")).withColumn("kept", F.lit(0))
 
 
-def test_neighbours_against_brute_force(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def recall_of_neighbours(v, **how):
     rows = v.orderBy("vec_id").collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     got = defaultdict(list)
-    for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0, least=300).orderBy("query_id", "rank").collect():
+    for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = 0
     for q in np.flatnonzero(ids % 20 == 0):
@@ -35,15 +34,44 @@ def test_neighbours_against_brute_force(spark, sf_dir):
         best = np.lexsort((ids, -scores))[:20]
         found = got[ids[q]]
         assert len(found) == 20 and all(abs(s - x[np.searchsorted(ids, i)] @ x[q]) < 1e-12 for i, s in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
         hits += len({i for i, _ in found} & set(ids[best]))
-    assert hits / (20 * len(got)) >= 0.9  # of 500 rows 300 are met; by default blocks of up to 2048 rows are met whole
+    return hits / (20 * len(got))
+
+
+def test_neighbours_against_brute_force(spark, sf_dir):
+    assert recall_of_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet")) >= 0.9
+
+
+def test_neighbours_over_several_blocks(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id < 3000")
+    assert recall_of_neighbours(v, block_rows=700, block_queries=40, run=2) >= 0.9
+
+
+def test_ascent_meets_every_tree_of_a_level():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    strings, order = ann_forest.sorted_trees(x, 5, 1)
+    asked = ann_forest.query_strings(x[:20], 5, 1)
+    plain = ann_forest.bit_strings(np.column_stack([x, np.sqrt(np.maximum(0, (np.linalg.norm(x, axis=1) ** 2).max() - np.linalg.norm(x, axis=1) ** 2))]), 5, 1)
+    for q, found in enumerate(ann_forest.candidates(strings, order, asked, 60)):
+        for level in range(64, -1, -1):
+            same = ((plain ^ asked[:, q : q + 1]) >> np.uint64(64 - level) == 0).any(axis=0) if level else np.ones(400, bool)
+            if same.sum() >= 60:
+                break
+        assert level <= ann_forest.DEEPEST and found.tolist() == np.flatnonzero(same).tolist()
 
 
 def test_neighbours_edges(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.0]),
+            (7, [1.0, 0.0, 2.0]), (8, [1.0]), (20, [0.0, 3.0]), (20, [0.0, 2.0]), (40, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = [tuple(r) for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 6, -1.0)]
+    got = [tuple(r) for r in ann_forest.nearest(v, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got[:5] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (0, 4, 20, 0.0), (0, 5, 6, -1.0)]
+    assert got[5:] == [(20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0), (20, 4, 6, 0.0), (40, 1, 8, 1.0)]
+    many = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    tied = ann_forest.nearest(many, F.col("vec_id") % 20 == 0, block_rows=100, block_queries=7).where("query_id = 20").orderBy("rank").collect()
+    assert [r.vec_id for r in tied] == [*range(20)]
     assert ann_forest.nearest(v.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
