@@ -9,11 +9,7 @@ have their pairs dealt by both words, and what is counted of them in each shard
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -21,56 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import new_folder, stored
+from lodestrata.llm._shared import mapped_array, new_folder, put_array, stored
 from lodestrata.llm.words import batches_of_text, mixed, words_of
 
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 #: What is known of a word: its count, in how many pairs it is second, and how many pairs it begins that occur once, twice, more.
 COLUMNS = ("count", "before", "once", "twice", "more")
+#: Bytes of text that a task takes apart at once.
+PART_BYTES = 2_000_000
+#: Most words whose pairs are dealt by both words; a list of 8 bytes each goes to all tasks.
+MOST_CROWDED = 1 << 20
 BLOCK = "shard int, keys binary, firsts binary, runs binary, counts binary"
 
 
-def _local(uri: str) -> str | None:
-    """The path of a file: URI; None for stores that are not mounted."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
-
-
-def put_array(uri: str, array: np.ndarray) -> None:
-    """Writes an array; a repeated task replaces the file by an equal one."""
-    path = _local(uri)
-    if path is None:
-        from pyarrow.fs import FileSystem
-
-        store, inside = FileSystem.from_uri(uri)
-        data = io.BytesIO()
-        np.save(data, array)
-        with store.open_output_stream(inside) as f:
-            f.write(data.getbuffer())
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    draft = f"{path}.{os.getpid()}.tmp.npy"
-    np.save(draft, array)
-    os.replace(draft, path)
-
-
-@lru_cache(maxsize=4096)
-def mapped_array(uri: str) -> np.ndarray:
-    """A written array, mapped into memory; from stores that are not mounted by way of an unnamed local copy."""
-    path = _local(uri)
-    if path is not None:
-        return np.load(path, mmap_mode="r") if os.path.getsize(path) > 128 else np.load(path)
-    from pyarrow.fs import FileSystem
-
-    store, inside = FileSystem.from_uri(uri)
-    with tempfile.NamedTemporaryFile(suffix=".npy") as copy:
-        with store.open_input_stream(inside) as f:
-            copy.write(f.read())
-        copy.flush()
-        return np.load(copy.name, mmap_mode="r")  # the mapping outlives the name
-
-
 class Tokens(NamedTuple):
     hash: np.ndarray  # of all tokens, each text's end included
     before: np.ndarray  # of the token before each
@@ -139,17 +98,17 @@ def _read_blocks(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _map_words(bits: int, flush: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for batch in batches_of_text(batches):
+        for batch in batches_of_text(batches, most_bytes=PART_BYTES):
             held.append(tokens_of(batch.column("text").to_pylist()).hash)
             if sum(map(len, held)) >= flush:
-                yield _batch(list(_word_blocks(*_counted(held), bits)))
+                yield _counted(held)
                 held = []
         if held:
-            yield _batch(list(_word_blocks(*_counted(held), bits)))
+            yield _counted(held)
 
     def _counted(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return keys, [n]
+        return _batch(list(_word_blocks(keys, [n], bits)))
 
     return count
 
@@ -165,6 +124,7 @@ def _add_words(width: int, bits: int):
 def _map_pairs(bits: int, crowded: np.ndarray, flush: int):
     def blocks(held: list[Tokens]) -> pa.RecordBatch:
         before, word = (np.concatenate([getattr(t, k) for t in held]) for k in ("before", "hash"))
+        held.clear()
         keys, index, n = np.unique(pair_keys(before, word, crowded, bits), return_index=True, return_counts=True)
         before, word, at, rows = before[index], word[index], _shards(keys, bits), []
         for shard in np.flatnonzero(np.diff(at)):
@@ -178,11 +138,10 @@ def _map_pairs(bits: int, crowded: np.ndarray, flush: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Tokens] = []
-        for batch in batches_of_text(batches):
+        for batch in batches_of_text(batches, most_bytes=PART_BYTES):
             held.append(tokens_of(batch.column("text").to_pylist()))
             if sum(len(t.hash) for t in held) >= flush:
                 yield blocks(held)
-                held = []
         if held:
             yield blocks(held)
 
@@ -202,11 +161,11 @@ def _add_pairs(folder: str, bits: int, crowded: np.ndarray, word_bits: int):
         keys = pair_keys(before, word, crowded, bits)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, total = keys[start], np.add.reduceat(counts[order].astype(np.int64), start)
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        keys, total = keys[start], np.add.reduceat(counts[order].astype(np.int64), start) if len(keys) else np.empty(0, np.int64)
         before, word = before[order][start], word[order][start]
         put_array(f"{folder}/pairs-{shard}-keys.npy", keys)
-        put_array(f"{folder}/pairs-{shard}-counts.npy", np.minimum(total, 2**32 - 1).astype(np.uint32))
+        put_array(f"{folder}/pairs-{shard}-counts.npy", total if total.max(initial=0) >= 2**32 else total.astype(np.uint32))
         zero, one = np.zeros(len(word), np.int64), np.ones(len(word), np.int64)
         facts = np.concatenate([
             np.stack([zero, one, zero, zero, zero]),
@@ -265,12 +224,12 @@ class Model(NamedTuple):
         for shard in np.flatnonzero(np.diff(at)):
             part = slice(at[shard], at[shard + 1])
             uri = f"{self.folder}/{name}-{shard}"
-            try:
-                known, found = mapped_array(f"{uri}-keys.npy"), mapped_array(f"{uri}-{values}.npy")
-            except FileNotFoundError:
-                continue  # a shard without keys has no files
+            # every shard has its files, if only empty ones: an absent file is an error
+            known, found = mapped_array(f"{uri}-keys.npy"), mapped_array(f"{uri}-{values}.npy")
             if out is None:
                 out = np.zeros((*found.shape[:-1], len(keys)), np.int64)
+            if not len(known):
+                continue
             place = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
             out[..., part] = np.where(known[place] == keys[part], found[..., place], 0)
         return out if out is not None else np.zeros((len(COLUMNS), len(keys)) if name == "words" else len(keys), np.int64)
@@ -307,8 +266,8 @@ class Model(NamedTuple):
         return np.bincount(t.text, minlength=n), np.bincount(t.text, count > 0, n).astype(np.int64), np.bincount(t.text, base, n), np.bincount(t.text, score, n)
 
 
-def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 2_000_000) -> Model:
-    """A model of the texts of docs; nothing but sums and at most four crowded words a shard comes to the driver."""
+def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 500_000) -> Model:
+    """A model of the texts of docs; nothing but sums and the crowded words, at most MOST_CROWDED, comes to the driver."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "lm")
     texts = docs.select("text")
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -322,7 +281,8 @@ def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 2_000_000)
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["n"])
 
     tokens = words.select("counts").mapInArrow(facts, "n long").agg(F.sum("n")).first()[0] or 0
-    least = max(1, tokens >> (bits + 2))
+    least = max(1, tokens >> (bits + 2), tokens // MOST_CROWDED)  # of a word's tokens, so no more words than that
+    every_shard = spark.range(1 << bits).select(F.col("id").cast("int").alias("shard"), *(F.lit(b"").alias(c) for c in ("keys", "firsts", "runs", "counts")))
 
     def crowded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +293,7 @@ def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 2_000_000)
     crowded = words.select("keys", "counts").mapInArrow(crowded_words, "k long").toArrow().column("k").to_numpy().view(np.uint64)
     crowded = np.sort(np.append(crowded, BEGIN))
     told = stored(
-        texts.mapInArrow(_map_pairs(bits, crowded, flush), BLOCK).groupBy("shard").applyInArrow(_add_pairs(folder, bits, crowded, bits), BLOCK), "lm-pairs"
+        texts.mapInArrow(_map_pairs(bits, crowded, flush), BLOCK).union(every_shard).groupBy("shard").applyInArrow(_add_pairs(folder, bits, crowded, bits), BLOCK), "lm-pairs"
     )
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +305,8 @@ def train(docs: DataFrame, shard_bytes: int = 8_000_000, flush: int = 2_000_000)
                 rows.append(_row(shard, keys, counts=wide.tobytes()))
             yield _batch(rows)
 
-    about = words.mapInArrow(widened, BLOCK).union(told.where("shard >= 0")).groupBy("shard").applyInArrow(_write_words(folder), BLOCK)
+    about = words.mapInArrow(widened, BLOCK).union(told.where("shard >= 0")).union(every_shard)
+    about = stored(about.groupBy("shard").applyInArrow(_write_words(folder), BLOCK), "lm-about")
 
     def sums(df: DataFrame, width: int) -> list[int]:
         """Sums of the columns of rows of counts, added up in Spark."""
