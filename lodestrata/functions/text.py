@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of answer normalisation.
 ARTICLES = ("a", "an", "the")
-#: Words that overlap measures leave out.
+#: Words that overlap measures leave out, unless a caller gives others; the articles, prepositions and auxiliaries of Spark's English list.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
 
 
@@ -48,6 +48,15 @@ def substring_match(prediction: Column, gold: Column) -> Column:
     return F.contains(normalize_answer(prediction), normalize_answer(gold)).cast("double")
 
 
+#: Answers that match nothing but themselves.
+SPECIAL_ANSWERS = ("yes", "no", "noanswer")
+
+
+def special_mismatch(prediction: Column, gold: Column) -> Column:
+    """Whether either normalised answer is a special one and the other is not the same."""
+    return (prediction.isin(*SPECIAL_ANSWERS) | gold.isin(*SPECIAL_ANSWERS)) & (prediction != gold)
+
+
 def token_f1(common: Column, n_prediction: Column, n_gold: Column) -> Column:
     """F1 of multiset overlap; 0 where nothing is common."""
     precision, recall = common / n_prediction, common / n_gold

@@ -22,3 +22,20 @@ def cosine(a: Column, b: Column) -> Column:
 def running_mean(mean: Column, n: Column, x: Column) -> Column:
     """The mean of n + 1 vectors from the mean of n."""
     return F.zip_with(mean, x, lambda m, v: (m * n + v) / (n + 1))
+
+
+def unit(a: Column) -> Column:
+    """a divided by its length; a zero vector stays."""
+    size = norm(a)
+    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+
+
+def cosine_or_null(a: Column, b: Column) -> Column:
+    """Null for null vectors, other lengths, zero vectors and results that are no number."""
+    product = norm(a) * norm(b)
+    found = F.when((F.size(a) == F.size(b)) & (product > 0), dot(a, b) / product)
+    return F.when(~F.isnan(found), found)
+
+
+def cosine_with_eps(a: Column, b: Column, eps: float = 1e-10) -> Column:
+    return dot(a, b) / (norm(a) * norm(b) + eps)

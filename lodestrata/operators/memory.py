@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import rounded
+from lodestrata.session import rounded, written
 
 
 def last_wins(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -71,8 +71,11 @@ def evenly_spaced(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def global_places(rows: DataFrame, order: str) -> DataFrame:
-    """rows with their place (from 0) in the order of a column without nulls or ties, computed range by range."""
-    ranges = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
+    """rows with their place (from 0) in the order of a column without nulls or ties, computed range by range.
+
+    The ranges are written before use: their bounds come from a sample, so a second run of the same plan may cut them elsewhere.
+    """
+    ranges = written(rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id()), "ranges")
     starts = ranges.groupBy("part").agg(F.count("*").alias("n"), F.min(order).alias("least"))
     before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "start")
@@ -80,3 +83,18 @@ def global_places(rows: DataFrame, order: str) -> DataFrame:
     return ranges.withColumn("within", within).join(F.broadcast(starts), "part").withColumn(
         "place", (F.col("start") + F.col("within")).cast("long")
     ).drop("part", "within", "start")
+
+
+def upserted(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """old with the rows of new inserted or, by key, put in place; columns in `keep` stay as they were first. One full join, nothing is updated in place."""
+    rest = [c for c in old.columns if c not in key]
+    a = old.select(*key, F.struct(*rest).alias("__old"))
+    b = new.select(*key, F.struct(*rest).alias("__new"))
+    value = lambda c: F.coalesce(f"__old.{c}", f"__new.{c}") if c in keep else F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(f"__old.{c}"))
+    return a.join(b, key, "full").select(*key, *(value(c).alias(c) for c in rest))
+
+
+def inserted_if_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old and those rows of new whose key it lacks, each key once."""
+    first = new.select(old.columns).dropDuplicates(key)
+    return old.unionByName(first.join(old.select(*key), key, "left_anti").select(old.columns))

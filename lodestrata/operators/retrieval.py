@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.functions import vector as V
-from lodestrata.session import rounded, small
+from lodestrata.session import rounded, small, written
 
 
 def ranked(scored: DataFrame, group: str, score: str, ties: str, k: int | None = None, descending: bool = True) -> DataFrame:
@@ -17,63 +18,117 @@ def ranked(scored: DataFrame, group: str, score: str, ties: str, k: int | None =
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def term_counts(rows: DataFrame, key: str, words: Column) -> DataFrame:
-    """key, term, tf."""
-    return rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """query_id, doc_id, score by Okapi BM25 of all documents that share a term with a query.
 
-    docs: doc_id, text; queries: query_id, text. Repeated query terms count once each; terms in more than half of
-    the documents have a negative idf, which is kept. Only postings of query terms are shuffled.
+    docs: doc_id, text; queries: query_id, text. A term that a query repeats counts as often. A negative idf (terms in more than half of
+    the documents) is replaced by epsilon times the mean idf of all terms. Only postings of query terms are shuffled.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     vocabulary = small(asked.select("term").distinct())
-    worded = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
-    stats = worded.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_size"))
-    n_docs, avg_size = stats.first()
-    postings = (
-        worded.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(vocabulary, "term")
-        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    worded = docs.select("doc_id", T.tokens(F.col("text")).alias("words")).withColumn("size", F.size("words").cast("long"))
+    # a row without a term carries each document's size, so that one pass counts documents, words and terms
+    seen = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("size"))),
+        F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("size"))),
     )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    counts = written(worded.select(F.explode(seen).alias("s")).groupBy("s.term").agg(F.count("*").alias("df"), F.sum("s.size").alias("size")), "terms")
+    totals = counts.where("term is null").first()
+    n_docs, avg_size = (totals.df, totals["size"] / totals.df) if totals else (0, 0.0)
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(avg_size or 1))))
-    return (
-        postings.join(df.select("term", idf.alias("idf")), "term").join(asked, "term")
-        .groupBy("query_id", "doc_id").agg(rounded(F.sum(weight)).alias("score"))
+    known = counts.where("term is not null").select("term", idf.alias("idf"))
+    least = epsilon * (known.agg(F.avg("idf")).first()[0] or 0.0)
+    weights = known.join(vocabulary, "term").select("term", F.when(F.col("idf") < 0, least).otherwise(F.col("idf")).alias("idf"))
+    postings = (
+        worded.select("doc_id", "size", F.explode("words").alias("term")).join(vocabulary, "term")
+        .groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     )
+    weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(avg_size or 1))))
+    return postings.join(asked.join(weights, "term"), "term").groupBy("query_id", "doc_id").agg(rounded(F.sum(weight)).alias("score"))
 
 
 def jaccard(docs: DataFrame, queries: DataFrame, multiset: bool = False) -> DataFrame:
-    """query_id, doc_id, score of the pairs that share a token, stop words left out; sets, or counts as multisets."""
-    plain = lambda: F.filter(T.word_tokens(F.col("text")), lambda w: ~w.isin(*T.STOPWORDS))
-    d, q = term_counts(docs, "doc_id", plain()), term_counts(queries, "query_id", plain())
-    if not multiset:
-        d, q = d.withColumn("tf", F.lit(1).cast("long")), q.withColumn("tf", F.lit(1).cast("long"))
-    total = lambda df, key, name: df.groupBy(key).agg(F.sum("tf").alias(name))
-    common = d.alias("d").join(q.alias("q"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.least("d.tf", "q.tf")).alias("common"))
-    return common.join(total(d, "doc_id", "n_doc"), "doc_id").join(small(total(q, "query_id", "n_query")), "query_id").select(
-        "query_id", "doc_id", rounded(F.col("common") / (F.col("n_doc") + F.col("n_query") - F.col("common"))).alias("score")
-    )
-
+    """query_id, doc_id, score of the pairs that share a token, stop words left out; sets, or counts as multisets.
 
-def dense_scores(vectors: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
-    """query_id, vec_id, score (cosine) of a stated set of queries against all other rows, in blocks of queries.
-
-    vectors: vec_id, embedding and any others, which stay; asked: query_id, query. Each row meets each block once.
+    Only postings of the queries' tokens are shuffled.
+    """
+    plain = F.filter(T.word_tokens(F.col("text")), lambda w: ~w.isin(*T.STOPWORDS))
+    words = plain if multiset else F.array_distinct(plain)
+    d = docs.select("doc_id", words.alias("words")).withColumn("n_doc", F.size("words"))
+    q = queries.select("query_id", words.alias("words")).withColumn("n_query", F.size("words"))
+    q = q.select("query_id", "n_query", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q_tf"), F.first("n_query").alias("n_query"))
+    d = d.select("doc_id", "n_doc", F.explode("words").alias("term")).join(small(q.select("term").distinct()), "term")
+    d = d.groupBy("doc_id", "term").agg(F.count("*").alias("d_tf"), F.first("n_doc").alias("n_doc"))
+    common = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.least("d_tf", "q_tf")).alias("common"), F.first("n_doc").alias("n_doc"), F.first("n_query").alias("n_query"))
+    return common.select("query_id", "doc_id", rounded(F.col("common") / (F.col("n_doc") + F.col("n_query") - F.col("common"))).alias("score"))
+
+
+def _best_of_group(k: int):
+    """The k best of each query among the rows of a group, by cosines rounded to six digits, ties to the smaller id."""
+    matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if len(rows) and len(asked):
+            x, q = matrix(rows, "embedding"), matrix(asked, "query")
+            ids, queries = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            x, ids, norms = x[order], ids[order], np.linalg.norm(x, axis=1)[order]
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                scores = np.round(part @ x.T / np.maximum(np.linalg.norm(part, axis=1)[:, None] * norms, 1e-12), 6)
+                scores[queries[at : at + 256, None] == ids] = -np.inf
+                # the sort is stable and ids ascend, so ties go to the smaller id
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, top, axis=1)
+                row, place = np.nonzero(found > -np.inf)
+                out.append((queries[at + row], ids[top[row, place]], found[row, place]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
+
+    return best
+
+
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None = None, block: int = 1024, rows_a_task: int = 16_384) -> DataFrame:
+    """query_id, vec_id, score (cosine), rank: the k best other rows for each of a stated set of queries, in blocks of queries.
+
+    vectors: vec_id, embedding; asked: query_id, query; both also the column `within`, where given: rows are then met by queries of the same value only.
+    A block meets the rows in slices, and each slice keeps its k best before anything is shuffled. Null vectors take no part; vectors meet those of their own length.
     """
-    blocks = max(1, -(-asked.count() // block))
-    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    q = asked.withColumn("block", own).groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("asked"))
-    rows = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return (
-        rows.join(F.broadcast(q) if blocks <= 16 else q, "block")
-        .withColumn("one", F.explode("asked")).where(F.col("one.query_id") != F.col("vec_id"))
-        .withColumn("score", rounded(V.cosine(F.col("embedding"), F.col("one.query"))))
-        .withColumn("query_id", F.col("one.query_id")).drop("block", "asked", "one", "embedding")
+    extra = [within] if within else []
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("length"), *extra)
+    q = asked.where("query is not null").select(F.col("query_id").cast("long"), "query", F.size("query").alias("length"), *extra)
+    blocks, slices = max(1, -(-q.count() // block)), max(1, -(-rows.count() // rows_a_task))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    keys = ["length", *extra, "block", "slice"]
+    rows = rows.withColumn("slice", own("vec_id", slices)).withColumn("block", every(blocks))
+    q = q.withColumn("block", own("query_id", blocks)).withColumn("slice", every(slices))
+    found = rows.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_best_of_group(k), "query_id long, vec_id long, score double")
+    return ranked(found, "query_id", "score", "vec_id", k)
+
+
+def hash_embedding(rows: DataFrame, key: str, words: Column, size: int = 256) -> DataFrame:
+    """key, bucket, weight: the unit vector of a text's words (1 each) and pairs of words (0.5 each) in hashed buckets; texts without words have none."""
+    w = F.col("__words")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    terms = F.concat(
+        F.transform(w, lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("weight"))),
+        F.when(F.size(w) > 1, F.transform(pairs, lambda x: F.struct(x.alias("term"), F.lit(0.5).alias("weight")))).otherwise(F.array().cast("array<struct<term: string, weight: double>>")),
     )
+    bucket = (F.conv(F.substring(F.md5("t.term"), 1, 8), 16, 10).cast("long") % size).alias("bucket")
+    summed = rows.select(key, words.alias("__words")).select(key, F.explode(terms).alias("t")).groupBy(key, bucket).agg(F.sum("t.weight").alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    return summed.select(key, "bucket", (F.col("weight") / norm).alias("weight"))
+
+
+def hashed_cosine(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs (query_id, doc_id) with the cosine of their hash embeddings; only texts of the pairs are embedded."""
+    d = hash_embedding(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", T.tokens(F.col("text")))
+    q = hash_embedding(queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi"), "query_id", T.tokens(F.col("text")))
+    met = pairs.join(q.withColumnRenamed("weight", "q_weight"), "query_id").join(d, ["doc_id", "bucket"])
+    dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("dot"))
+    return pairs.join(dots, ["query_id", "doc_id"], "left").select("query_id", "doc_id", rounded(F.coalesce("dot", F.lit(0.0))).alias("score"))
 
 
 def reciprocal_ranks(*lists: DataFrame, k: int = 60) -> DataFrame:

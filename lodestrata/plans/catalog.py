@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import retrieval_queries, table_queries, text_queries
+from lodestrata.plans import composite_queries, graph_queries, memory_queries, retrieval_queries, scoring_queries, set_queries, table_queries, text_queries
 
 FLAGSHIP = "bm25_topk"
-_ALL = text_queries.QUERIES | retrieval_queries.QUERIES | table_queries.QUERIES
+_ALL = text_queries.QUERIES | retrieval_queries.QUERIES | table_queries.QUERIES | graph_queries.QUERIES | set_queries.QUERIES | scoring_queries.QUERIES | memory_queries.QUERIES | composite_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items()}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}

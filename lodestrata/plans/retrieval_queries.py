@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.operators import retrieval as R
 from lodestrata.plans.text_queries import _STOP, _TOKENS, _WORDS
-from lodestrata.session import table
+from lodestrata.session import small, table, written
 
 
 def _questions(spark, sf_dir):
@@ -25,12 +25,13 @@ def bm25_topk(spark, sf_dir):
 
 _BM25 = f"""
 w AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS ws FROM documents),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("coalesce(text, '')")}) AS term FROM benchmark),
+q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("coalesce(text, '')")}) AS term FROM benchmark) GROUP BY ALL),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(len(ws)) AS avg_size FROM w),
 po AS (SELECT doc_id, term, count(*) AS tf, first(size) AS size FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS term FROM w) GROUP BY doc_id, term),
 pq AS (SELECT * FROM po WHERE term IN (SELECT term FROM q)),
-df AS (SELECT term, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM pq, st GROUP BY term, n_docs),
-sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / avg_size))), 6)::DOUBLE AS score
+raw AS (SELECT term, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM po, st GROUP BY term, n_docs),
+df AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+sc AS (SELECT query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / avg_size))), 6)::DOUBLE AS score
   FROM pq JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, doc_id),
 lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 BM25 = f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10"
@@ -62,14 +63,14 @@ JACCARD = f"WITH {_jaccard_sql('1')} SELECT query_id, doc_id, score, rank FROM j
 MULTISET = f"WITH {_jaccard_sql('count(*)')} SELECT query_id, doc_id, score, rank FROM jac WHERE rank <= 10"
 
 
-def _dense(spark, sf_dir):
+def _dense(spark, sf_dir, k, where="true", within=None):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return R.dense_scores(v, asked)
+    asked = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id").withColumnRenamed("embedding", "query")
+    return R.dense_topk(v.where(where), asked, k, within).select("query_id", "vec_id", "score", "rank")
 
 
 def knn_cosine_topk(spark, sf_dir):
-    return R.ranked(_dense(spark, sf_dir), "query_id", "score", "vec_id", 10).select("query_id", "vec_id", "score", "rank")
+    return _dense(spark, sf_dir, 10)
 
 
 _COS = """
@@ -82,16 +83,17 @@ KNN = f"WITH {_COS} SELECT query_id, vec_id, score, rank FROM knn WHERE rank <=
 
 
 def knn_by_label_filter(spark, sf_dir):
-    found = _dense(spark, sf_dir).where("label in (1, 2, 3)")
-    return R.ranked(found, "query_id", "score", "vec_id", 5).select("query_id", "vec_id", "score", "rank")
+    """The filter holds before any row is scored."""
+    return _dense(spark, sf_dir, 5, "label in (1, 2, 3)")
 
 
 KNN_FILTER = f"WITH {_COS} SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs WHERE label IN (1, 2, 3) QUALIFY rank <= 5"
 
 
 def _two_lists(spark, sf_dir):
-    lexical = _lexical(spark, sf_dir, 20).withColumnRenamed("doc_id", "id")
-    return lexical, _overlap(spark, sf_dir, False, 20).withColumnRenamed("doc_id", "id")
+    """Written once, as fusions read each list more than once."""
+    lexical = written(_lexical(spark, sf_dir, 20).withColumnRenamed("doc_id", "id"), "lexical")
+    return lexical, written(_overlap(spark, sf_dir, False, 20).withColumnRenamed("doc_id", "id"), "overlap")
 
 
 _TWO = f"WITH {_BM25}, {_jaccard_sql('1')}, a AS (SELECT query_id, doc_id AS id, score, rank FROM lex WHERE rank <= 20), b AS (SELECT query_id, doc_id AS id, score, rank FROM jac WHERE rank <= 20)"
@@ -107,11 +109,27 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
 
 
 def hybrid_minmax_fusion(spark, sf_dir):
-    return R.ranked(R.hybrid(*_two_lists(spark, sf_dir)), "query_id", "score", "id", 10).select("query_id", "id", "score", "rank")
+    """BM25 and the cosine of hash embeddings over BM25's candidates."""
+    lexical = written(_lexical(spark, sf_dir, 20).select("query_id", "doc_id", "score"), "candidates")
+    cosine = R.hashed_cosine(lexical.select("query_id", "doc_id"), table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    both = R.hybrid(lexical.withColumnRenamed("doc_id", "id"), cosine.withColumnRenamed("doc_id", "id"))
+    return R.ranked(both, "query_id", "score", "id", 10).select("query_id", "id", "score", "rank")
+
+
+def _embedded(name, rows):
+    return f"""
+{name}_t AS (SELECT id, w AS term, 1.0::DOUBLE AS weight FROM (SELECT id, unnest(ws) AS w FROM {rows}) UNION ALL
+  SELECT id, ws[i] || ' ' || ws[i + 1], 0.5 FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM {rows})),
+{name}_s AS (SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket, sum(weight) AS weight FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT id, bucket, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM {name}_s)"""
 
 
 _MM = "CASE WHEN max(score) OVER p - min(score) OVER p <= 1e-6 THEN CASE WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p + 1e-6) END"
-HYBRID = f"""{_TWO}, x AS (SELECT query_id, id, {_MM} AS s FROM a WINDOW p AS (PARTITION BY query_id)), y AS (SELECT query_id, id, {_MM} AS s FROM b WINDOW p AS (PARTITION BY query_id)),
+HYBRID = f"""WITH {_BM25}, a AS (SELECT query_id, doc_id AS id, score FROM lex WHERE rank <= 20),
+dt AS (SELECT doc_id AS id, ws FROM w WHERE doc_id IN (SELECT id FROM a)), qt AS (SELECT item_id AS id, {_TOKENS.format("coalesce(text, '')")} AS ws FROM benchmark),
+{_embedded('ed', 'dt')}, {_embedded('eq', 'qt')},
+b AS (SELECT query_id, a.id, round(coalesce(sum(ed.weight * eq.weight), 0), 6)::DOUBLE AS score FROM a LEFT JOIN eq ON eq.id = query_id LEFT JOIN ed ON ed.id = a.id AND ed.bucket = eq.bucket GROUP BY query_id, a.id),
+x AS (SELECT query_id, id, {_MM} AS s FROM a WINDOW p AS (PARTITION BY query_id)), y AS (SELECT query_id, id, {_MM} AS s FROM b WINDOW p AS (PARTITION BY query_id)),
 f AS (SELECT query_id, id, round(coalesce(x.s, 0) * 0.5 + coalesce(y.s, 0) * 0.5, 6)::DOUBLE AS score FROM x FULL JOIN y USING (query_id, id))
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10"""
 
@@ -128,11 +146,7 @@ SELECT query_id, id, list, list_rank, row_number() OVER (PARTITION BY query_id O
 
 def _label_gold(spark, sf_dir):
     """Found neighbours of each query, and as gold the query's ten nearest of its own label."""
-    scores = _dense(spark, sf_dir)
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    same = scores.join(F.broadcast(labels.where("query_id % 50 = 0")), "query_id").where("label = query_label")
-    gold = R.ranked(same, "query_id", "score", "vec_id", 10).select("query_id", F.col("vec_id").alias("id"))
-    return R.ranked(scores, "query_id", "score", "vec_id", 10).select("query_id", F.col("vec_id").alias("id"), "rank"), gold
+    return tuple(_dense(spark, sf_dir, 10, within=w).withColumnRenamed("vec_id", "id").select("query_id", "id", "rank") for w in (None, "label"))
 
 
 _GOLD = f"""WITH {_COS}, f AS (SELECT query_id, vec_id AS id, rank FROM knn WHERE rank <= 10),
@@ -140,7 +154,8 @@ g AS (SELECT query_id, vec_id AS id FROM cs WHERE label = query_label QUALIFY ro
 
 
 def recall_at_k_strict(spark, sf_dir):
-    return R.strict_recall(*_label_gold(spark, sf_dir))
+    found, gold = _label_gold(spark, sf_dir)
+    return R.strict_recall(found, gold.select("query_id", "id"))
 
 
 RECALL = f"""{_GOLD} SELECT query_id, count(*) AS n_gold, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS recall_at_1,
@@ -149,7 +164,8 @@ FROM g LEFT JOIN f USING (query_id, id) GROUP BY query_id"""
 
 
 def prefix_any_all_coverage(spark, sf_dir):
-    return R.prefix_coverage(*_label_gold(spark, sf_dir))
+    found, gold = _label_gold(spark, sf_dir)
+    return R.prefix_coverage(found, gold.select("query_id", "id"))
 
 
 PREFIX = f"""{_GOLD}, n AS (SELECT query_id, count(*) AS n FROM g GROUP BY query_id),
@@ -162,17 +178,20 @@ def containment_join(spark, sf_dir):
     """Documents that hold a whole benchmark text, looked up by its longest inner word before the texts are compared.
 
     Inner words are neither an item's first nor its last, so a document that holds the item has them whole. Items
-    without one (up to two words, or blank) are compared with every document. The benchmark is a query set and broadcast.
+    without one (up to two words, or blank) are compared with every document, as a stated query set in blocks.
     """
     longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     ws = T.tokens(F.col("text"))
     inner = F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), longest(inner).alias("word")).where("item is not null")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    looked_up = docs.select("doc_id", "text", F.explode(F.array_distinct(ws)).alias("word")).join(F.broadcast(items.where("word is not null")), "word")
-    others = docs.crossJoin(F.broadcast(items.where("word is null").drop("word")))
-    held = lambda df: df.where(F.contains("text", "item")).select("item_id", "doc_id")
-    return held(looked_up).union(held(others))
+    looked_up = docs.select("doc_id", "text", F.explode(F.array_distinct(ws)).alias("word")).join(small(items.where("word is not null")), "word")
+    others = items.where("word is null").select("item_id", "item")
+    n = max(1, -(-others.count() // 256))
+    blocks = others.groupBy(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    met = docs.where("text is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(small(blocks), "block")
+    found = met.select("doc_id", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["item"]))).alias("i")).select("i.item_id", "doc_id")
+    return looked_up.where(F.contains("text", "item")).select("item_id", "doc_id").union(found)
 
 
 CONTAINS = "SELECT item_id, doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)"

@@ -311,22 +311,22 @@ FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nat
 
 
 def left_join_isolated(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers that no urgent order of the last years links to anything."""
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderdate >= '1997-01-01'")
+    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-ISOLATED = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+ISOLATED = """SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= DATE '1997-01-01') ON o_custkey = c_custkey WHERE o_custkey IS NULL"""
 
 
 def personal_rank_fixed_rounds(spark, sf_dir):
-    """Ranks of customers and suppliers from a reset on the suppliers of the first nation: all nodes reached in four rounds.
+    """Ranks of customers and suppliers from a reset on the suppliers of the first nation: all nodes reached in twenty rounds.
 
-    Scores have six decimals as in the SQL, which leaves out those that round to 0; here these have six significant digits instead.
+    Scores have six significant digits, as they sum to 1 and so grow smaller with the graph.
     """
     trade = _trade(spark, sf_dir).withColumn("weight", F.lit(1.0))
     reset = table(spark, sf_dir, "supplier").where("s_nationkey = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("r"))
-    score = rounded(F.col("score"))
-    digits = F.format_string("%.5e", F.col("score")).cast("double")
-    return G.personal_rank(trade, reset, 0.5, 4).where("score > 0").select("node", F.when(score > 0, score).otherwise(digits).alias("score"))
+    return G.personal_rank(trade, reset, 0.5, 20).select("node", F.format_string("%.5e", F.col("score")).alias("score"))
 
 
 _ROUND = """x{1} AS (SELECT coalesce(r.node, m.dst) AS node, coalesce(r, 0) * 0.5 + coalesce(s, 0) * 0.5 AS score FROM r FULL JOIN
@@ -334,8 +334,8 @@ _ROUND = """x{1} AS (SELECT coalesce(r.node, m.dst) AS node, coalesce(r, 0) * 0.
 RANK = f"""{_TRADE}, w AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 l AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM w),
 r AS (SELECT 's' || s_suppkey AS node, 1.0::DOUBLE / count(*) OVER () AS r FROM supplier WHERE s_nationkey = 0),
-x0 AS (SELECT node, r AS score FROM r), {', '.join(_ROUND.format(i, i + 1) for i in range(4))}
-SELECT node, round(score, 6)::DOUBLE AS score FROM x4 WHERE round(score, 6) > 0"""
+x0 AS (SELECT node, r AS score FROM r), {', '.join(_ROUND.format(i, i + 1).replace(' AS (', ' AS MATERIALIZED (', 1) for i in range(20))}
+SELECT node, format('{{:.5e}}', score) AS score FROM x20"""
 
 QUERIES = {
     "changelog_last_wins": (changelog_last_wins, LAST), "soft_delete_view": (soft_delete_view, ALIVE), "retention_keep_latest_n": (retention_keep_latest_n, RETAIN),

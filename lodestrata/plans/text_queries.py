@@ -43,6 +43,7 @@ def token_f1_pairs(spark, sf_dir):
     )
     n = F.coalesce("common", F.lit(0))
     f1 = T.token_f1(n, F.greatest(F.size("p"), F.lit(1)), F.greatest(F.size("g"), F.lit(1)))
+    f1 = F.when(T.special_mismatch(F.array_join("p", " "), F.array_join("g", " ")), 0.0).otherwise(f1)
     return rows.join(common, ["conv_id", "turn"], "left").select("conv_id", "turn", n.cast("long").alias("n_common"), rounded(f1).alias("f1"))
 
 
@@ -52,7 +53,7 @@ p AS (SELECT conv_id, turn, {_ANSWER.format('text')} AS p, {_ANSWER.format('gold
 s AS (SELECT conv_id, turn, unnest(p) AS w, 1 AS a, 0 AS b FROM p UNION ALL SELECT conv_id, turn, unnest(g), 0, 1 FROM p),
 c AS (SELECT conv_id, turn, sum(n) AS common FROM (SELECT conv_id, turn, w, least(sum(a), sum(b)) AS n FROM s GROUP BY ALL) GROUP BY ALL)
 SELECT conv_id, turn, CAST(coalesce(common, 0) AS BIGINT) AS n_common,
-  round(CASE WHEN common > 0 THEN 2 * (common / len(p)) * (common / len(g)) / (common / len(p) + common / len(g)) ELSE 0.0 END, 6)::DOUBLE AS f1
+  round(CASE WHEN (array_to_string(p, ' ') IN ('yes', 'no', 'noanswer') OR array_to_string(g, ' ') IN ('yes', 'no', 'noanswer')) AND p <> g THEN 0.0 WHEN common > 0 THEN 2 * (common / len(p)) * (common / len(g)) / (common / len(p) + common / len(g)) ELSE 0.0 END, 6)::DOUBLE AS f1
 FROM p LEFT JOIN c USING (conv_id, turn)"""
 
 
