@@ -10,8 +10,8 @@ count, and are compiled when first taken.
 
 A text is cut into chunks. A chunk's map from the state before it to the count and state after it
 is constant but for what precedes its first and follows its last white space, at which the
-transducer is in its initial state; so a map is a head, a count and a tail. Maps are joined pairwise, which
-is associative, in a scan of log2(chunks) rounds.
+transducer is in its initial state; so a map is a head, a count and a tail; a chunk without white space is a head only.
+Maps are joined pairwise, which is associative, in log2(chunks) rounds.
 """
 
 from __future__ import annotations
@@ -205,20 +205,18 @@ def joined(t: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     return ChunkMap(a.head, a.middle + t.count(a.tail + b.head) + b.middle, b.tail)
 
 
-def scanned(t: Transducer, maps: list[ChunkMap]) -> list[ChunkMap]:
-    """The maps of all prefixes, by doubling the distance over which maps are joined."""
-    step = 1
-    while step < len(maps):
-        maps = maps[:step] + [joined(t, maps[i - step], maps[i]) for i in range(step, len(maps))]
-        step *= 2
-    return maps
+def reduced(t: Transducer, maps: list[ChunkMap]) -> ChunkMap:
+    """All maps joined, two neighbours at a time in log2(chunks) rounds: the last prefix of the scan, which is all that a total needs."""
+    while len(maps) > 1:
+        maps = [joined(t, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def count_tokens(t: Transducer, text: str | None, chunk: int = 65_536) -> int:
     text = text or ""
-    if len(text) <= chunk:
+    if len(text) <= chunk:  # one chunk, which begins and ends in the initial state
         return t.count(text)
-    whole = scanned(t, [chunk_map(t, text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
+    whole = reduced(t, [chunk_map(t, text[i : i + chunk]) for i in range(0, len(text), chunk)])
     return t.count(whole.head) + whole.middle + (t.count(whole.tail) if whole.tail else 0)
 
 
