@@ -27,11 +27,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_decisions(_table(spark, sf_dir, "documents"))
-    text, kept = F.col("text"), F.col("kept")
+    found = line_dedup.line_decisions(_table(spark, sf_dir, "documents")).withColumn("lines", F.split("text", "\n", -1))
+    text, lines, gone = F.col("text"), F.col("lines"), F.col("gone")
     return found.select(
-        "doc_id", line_dedup.line_count(text).alias("n_lines"), line_dedup.removed_count(text, kept).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(line_dedup.kept_text(text, kept), F.lit("")), 256).alias("kept_sha256"),
+        "doc_id", F.greatest(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(line_dedup.text_without(text, lines, gone), F.lit("")), 256).alias("kept_sha256"),
     )
 
 

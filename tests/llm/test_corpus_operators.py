@@ -18,7 +18,7 @@ EDGES = [(1, None, "x"), (2, "", None), (2, "", None), (None, "a b c d e f", "x"
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    return spark.createDataFrame(EDGES, "doc_id long, text string, source string").withColumn("score", F.lit(1)).withColumn("key", F.lit("k")).withColumn("kept", F.lit(0))
+    return spark.createDataFrame(EDGES, "doc_id long, text string, source string").withColumn("score", F.lit(1)).withColumn("key", F.lit("k")).withColumn("gone", F.lit(0))
 
 
 def recall_of_neighbours(v, **how):
@@ -101,7 +101,7 @@ def test_lines_against_brute_force(spark):
             lines.append(" ".join(line))
         texts.append((d, "\n".join([*lines, ""])))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {(r.doc_id, i) for r in line_dedup.line_decisions(docs).collect() for i, x in enumerate(r.text.split("\n")) if words(x) and i not in r.kept}
+    got = {(r.doc_id, i) for r in line_dedup.line_decisions(docs).collect() for i in r.gone}
     assert got == plain_lines(texts)
 
 
@@ -109,7 +109,7 @@ def test_lines_of_common_words_meet_in_slices():
     rng = np.random.default_rng(5)
     n = 300
     e = {"token": np.full(n, 7, np.uint64), "key": rng.permutation(n).astype(np.uint64), "doc": np.arange(n), "line": np.zeros(n, np.int32),
-         "size": np.full(n, 10, np.int32), "place": np.zeros(n, np.int32), "sketch": rng.integers(0, 2, n).astype(np.uint64)}
+         "size": np.full(n, 10, np.int32), "place": np.zeros(n, np.int32), "sketch": rng.integers(0, 2, n).astype(np.uint64), "sketch2": np.zeros(n, np.uint64)}
     pairs = lambda f: set(zip(f["later"].tolist(), f["earlier"].tolist(), strict=True))
     whole = pairs(line_dedup._candidates(e, None, 0.8, 10_000))
     side, parts = e["key"] % np.uint64(3), set()
@@ -252,21 +252,195 @@ def test_base_secrets_against_plain_patterns(spark):
         assert [tuple(s) for s in r.spans if s.kind < 3] == sorted(want, key=lambda s: (s[0], s[2]))
 
 
-def test_pipeline_stages(spark, sf_dir):
+def test_random_strings_are_found_and_identifiers_are_not(spark):
+    rng = np.random.default_rng(8)
+    alphabets = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    syllables = "the and ing ion ent for ter ver con ate men ous tion able".split()
+    rows, n = [], 0
+    for kind, alphabet in alphabets.items():
+        for size in (32, 40, 64):
+            for _ in range(60):
+                rows.append((n, f"see {''.join(rng.choice(list(alphabet), size))} there", f"{kind}{size}"))
+                n += 1
+    for _ in range(600):
+        rows.append((n, f"call {'_'.join(''.join(rng.choice(syllables, 3)) for _ in range(4))} now", "name"))
+        n += 1
+    rows += [(n, "word " * 30_000 + "".join(rng.choice(list(alphabets["base64"]), 64)), "long"), (n + 1, None, "null"), (n + 2, "token=" + "".join(rng.choice(list(alphabets["base64"]), 48)), "base")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+    share = defaultdict(list)
+    for d, text, kind in rows:
+        found = [s for s in got[d] if s[2] == 3]
+        share[kind].append(bool(found))
+        if kind[:3] in ("hex", "bas") and kind != "base" and found:
+            assert found == [(4, len(text) - 6, 3)]
+    assert got[n] == [(150_000, 150_064, 3)] and got[n + 1] == [] and [s[2] for s in got[n + 2]] == [0]  # what overlaps a base span is not added
+    assert np.mean(share["name"]) <= 0.01
+    assert all(np.mean(share[f"{k}{size}"]) >= 0.75 for k in ("base32", "base64") for size in (40, 64)) and np.mean(share["hex64"]) >= 0.5
+
+
+def plain_terms(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+
+
+def plain_contamination(docs, items, size=13, slop=3):
+    """n_words, n_hit, items with exact and with near matches, for each document."""
+    texts, windows = {d: plain_terms(t) for d, t in docs}, defaultdict(set)
+    for i, t in items:
+        ws = plain_terms(t)
+        for at in range(max(1, len(ws) - size + 1)) if ws else ():
+            windows[tuple(ws[at : at + size])].add(i)
+    uses = Counter(w for ws in texts.values() for w in ws)
+    anchor = {w: min((uses[t], t, k) for k, t in enumerate(w))[1] for w in windows}
+    out = {}
+    for d, ws in texts.items():
+        hit, exact, near = set(), set(), set()
+        for w, names in windows.items():
+            for at in range(len(ws) - len(w) + 1):
+                if tuple(ws[at : at + len(w)]) == w:
+                    hit |= set(range(at, at + len(w)))
+                    exact |= names
+            far = len(w) - 1 + slop
+            if any(x == anchor[w] and set(w) <= set(ws[max(0, at - far) : at + far + 1]) for at, x in enumerate(ws)):
+                near |= names
+        out[d] = (len(ws), len(hit), sorted(map(str, exact)), sorted(map(str, near)))
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_contamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ROWS", most)
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{int(k)}" for k in rng.zipf(1.3, n) % 300]
+    items = [(i, " ".join(word(int(n)))) for i, n in enumerate(rng.integers(1, 40, 30))] + [(90, ""), (91, None)]
+    docs = []
+    for d in range(60):
+        ws = word(int(rng.integers(0, 120)))
+        if d % 3:
+            part = (items[d % 30][1] or "").split()
+            if d % 3 == 2 and len(part) > 3:  # near: two words change places, one more comes in
+                part[1], part[2] = part[2], part[1]
+                part.insert(2, "new")
+            ws[3:3] = part
+        docs.append((d, " ".join(ws).upper() if d % 2 else ", ".join(ws)))
+    docs += [(100, None), (101, "")]
+    want = plain_contamination(docs, items)
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.near_ids) for r in got} == want and len(got) == len(docs)
+    assert any(len(w[3]) > len(w[2]) for w in want.values())
+    assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
+
+
+def plain_mix(docs, share=1.5, weights=(3, 1, 2), most=2):
+    """Words that a mix takes of each source: targets by water filling, cut at the budget."""
+    sizes = defaultdict(int)
+    for _, source, text in docs:
+        sizes[source] += len(words(text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), share * sum(sizes.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > most * sizes[s]}
+        for s in over or free:
+            target[s] = most * sizes[s] if over else level * weight[s]
+        if not over:
+            break
+        left -= sum(target[s] for s in over)
+        free -= over
+    return target
+
+
+def test_pipeline_stages(spark, sf_dir, tmp_path):
+    """Each stage on its own input: the kept rows by plain comparison, but for the classifier's scores, which are its own."""
     import corpus_pipeline
+    from test_simhash import plain_components, plain_print
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs
     for name, stage in corpus_pipeline.STAGES:
         after = line_dedup.stored(stage(spark, before, sf_dir), name)
-        assert after.count() <= before.count() and after.count() > 0
+        rows = {r.doc_id: r for r in before.collect()}
+        if name == "quality":
+            scored = corpus_pipeline.quality_gbt.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()
+            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in scored if r.score >= 0.3}
         if name == "lines":
-            gone, kept = plain_lines([(r.doc_id, r.text) for r in before.collect()]), {}
-            for r in before.collect():
-                left = [x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone]
+            gone, kept = plain_lines([(d, r.text) for d, r in rows.items()]), {}
+            for d, r in rows.items():
+                left = [x for i, x in enumerate(r.text.split("\n")) if (d, i) not in gone]
                 if any(words(x) for x in left) or not words(r.text):
-                    kept[r.doc_id] = "\n".join(left)
+                    kept[d] = "\n".join(left)
             assert {r.doc_id: r.text for r in after.collect()} == kept
-        if name != "mix":
-            assert after.columns == docs.columns
+        if name == "near_copies":
+            want = plain_components(list(rows), [plain_print(r.text) for r in rows.values()])
+            assert {r.doc_id for r in after.collect()} == set(want.values())
+        if name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+            found = plain_contamination([(d, r.text) for d, r in rows.items()], items)
+            assert {r.doc_id for r in after.collect()} == {d for d, (n, hit, _, _) in found.items() if not (hit and 20 * hit >= n)}
+        if name == "mix":
+            taken, target = defaultdict(int), plain_mix([(d, r.source, r.text) for d, r in rows.items()])
+            for r in after.collect():
+                assert 0 < r.taken <= 2 * len(words(rows[r.doc_id].text))
+                taken[r.source] += r.taken
+            assert all(int(target[s]) - 1 <= taken[s] <= target[s] + 1e-6 for s in target)
+        else:
+            assert after.columns == docs.columns and 0 < after.count() <= before.count()
             before = after
+
+
+def test_pipeline_on_odd_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "a b c d e f", "en", "x", 11), (1, None, None, None, None), (2, "", "en", "x", 0), (2, "", "en", "x", 0), (3, "one two\none two\n\nthree " * 50, None, None, 1000), (3, "other words of one id", "en", "y", 21)]
+    for odd in (rows, []):
+        folder = tmp_path / str(len(odd))
+        spark.createDataFrame(odd, kind).write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert len(got) <= len(odd)
+
+
+TABLES = "documents embeddings benchmark labels".split()
+
+
+@pytest.mark.parametrize("name", ["op9_mixing", "op10_decontamination"])
+def test_query_equals_its_sql(spark, sf_dir, name):
+    import duckdb
+
+    from lodestrata.llm import queries
+
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    df, want = queries.QUERIES[name](spark, sf_dir), duck.execute(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert columns == sorted(d[0] for d in want.description)
+    pick = lambda names, r: tuple(round(x, 6) if isinstance(x, float) else x for x in (r[names.index(c)] for c in columns))
+    assert sorted(pick(df.columns, tuple(r)) for r in df.collect()) == sorted(pick([d[0] for d in want.description], r) for r in want.fetchall())
+
+
+def test_digests_of_queries(spark, sf_dir):
+    """The columns that queries derive from their operators' results, from the texts alone."""
+    import hashlib
+
+    from lodestrata.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    gone = plain_lines(list(texts.items()))
+    for r in queries.op4_line_dedup(spark, sf_dir).collect():
+        lines = texts[r.doc_id].split("\n")
+        left = [x for i, x in enumerate(lines) if (r.doc_id, i) not in gone]
+        assert (r.n_lines, r.n_removed, r.kept_sha256) == (len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())
+    import re
+
+    patterns = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    for r in queries.op6_secrets(spark, sf_dir).collect():
+        found = [(m.start(), k, name, m.end()) for k, (name, p) in enumerate(patterns.items()) for m in re.finditer(p, texts[r.doc_id]) if (len(m[2]) >= 6 if k == 0 else len(m[0]) >= (20, 24)[k - 1])]
+        want = ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(found))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _, _ in found) for j in range(3))
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("random")) == want
