@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def packed(turns: Column, budget: int) -> Column:
-    """Array of chunk numbers for an array of turn sizes in order: a turn that would overflow the budget opens a chunk.
+def _numbers(sizes: pd.Series, budget: int, between: int, empty_first: bool) -> pd.Series:
+    out = []
+    for row in sizes:
+        n = used = 0
+        numbers = []
+        for k, size in enumerate(() if row is None else row):
+            if (used > 0 and used + between + size > budget) or (empty_first and k == 0 and size > budget):
+                n, used = n + 1, size
+            else:
+                used += size + (between if used else 0)
+            numbers.append(n)
+        out.append(numbers)
+    return pd.Series(out)
 
-    A turn larger than the budget is a chunk of its own.
+
+def packed(sizes: Column, budget: int, between: int = 0, empty_first: bool = False) -> Column:
+    """Array of chunk numbers for an array of sizes in order: what would overflow the budget opens a chunk.
+
+    Two in one chunk have `between` between them; one larger than the budget is a chunk of its own. empty_first: if the first
+    is larger than the budget, an empty chunk 0 comes before it. One pass over each array.
     """
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    return F.pandas_udf(lambda x: _numbers(x, budget, between, empty_first), "array<int>")(sizes)
+
+
+def packed_pieces(rows: DataFrame, key: str, pieces: Column, size: str, budget: int, between: int = 0, joint: str = " ", empty_first: bool = False) -> DataFrame:
+    """key, chunk, n_pieces, text: the pieces of each row (an array of texts) packed into chunks; size says what of a piece counts, "chars" or "words"."""
+    sized = rows.select(key, pieces.alias("pieces")).withColumn("sizes", F.transform("pieces", lambda p: _measured(size, p)))
+    numbered = sized.withColumn("numbers", packed(F.col("sizes"), budget, between, empty_first))
+    each = numbered.select(key, F.posexplode(F.arrays_zip("pieces", "numbers")).alias("at", "x"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("x.pieces").alias("p")))), lambda x: x["p"])
+    return each.groupBy(key, F.col("x.numbers").cast("long").alias("chunk")).agg(F.count("*").alias("n_pieces"), F.array_join(ordered, joint).alias("text"))
+
 
-    def step(acc: Column, size: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + size > budget)
-        n = F.when(opens, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(n.alias("n"), F.when(opens, size).otherwise(acc["used"] + size).alias("used"), F.array_append(acc["out"], n).alias("out"))
+def _measured(size: str, piece: Column) -> Column:
+    """How many characters or words a piece has."""
+    return F.length(piece) if size == "chars" else F.size(F.array_remove(F.split(piece, r"[\x20\x09-\x0D]+"), ""))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+
+def paragraphs(text: Column, most: int) -> Column:
+    """Parts between blank lines, trimmed and not empty; a part of over `most` characters is cut into pieces of that size."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[\x20\x09]*\n"), lambda p: F.regexp_replace(p, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda p: p != "")
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))
+    return F.flatten(F.transform(parts, cut))
+
+
+def token_windows(rows: DataFrame, key: str, words: Column, size: int, overlap: int) -> DataFrame:
+    """key, window, first (place of its first word), n, text: windows of `size` words that share `overlap` with the one before; the last may be shorter."""
+    step = size - overlap
+    w = rows.select(key, words.alias("ws")).where(F.size("ws") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("ws") - overlap) / step) - 1).cast("int"))
+    each = w.select(key, "ws", F.explode(starts).alias("window"))
+    part = F.slice("ws", F.col("window") * step + 1, size)
+    return each.select(key, F.col("window").cast("long").alias("window"), (F.col("window") * step).cast("long").alias("first"), F.size(part).cast("long").alias("n"), F.array_join(part, " ").alias("text"))
 
 
 def pack_turns(turns: DataFrame, group: str, order: str, size: Column, budget: int) -> DataFrame:

@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import stored_id
+from lodestrata.sources.files import exists
 
 SCHEMA = "hash_id string, content string, embedding array<float>"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; an absent store has none. Of an id added twice one row counts."""
-    try:
-        return spark.read.schema(SCHEMA).parquet(path).dropDuplicates(["hash_id"])
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path).dropDuplicates(["hash_id"])
 
 
 def missing(spark: SparkSession, path: str, texts: DataFrame, prefix: str = "chunk") -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestrata.operators.memory import last_wins
+from lodestrata.sources.files import paths
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -50,11 +53,27 @@ def running_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert_latest(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Writes each micro-batch's last row per (user_id, event_type) to a folder of its own; a repeated batch replaces its folder."""
-    from lodestrata.operators.memory import last_wins
+def latest_version(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The table as the last micro-batch (before a number) left it; None where there is none."""
+    numbers = sorted(int(p.rsplit("=", 1)[1]) for p in paths(spark, [f"{folder}/version=*"]))
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{folder}/version={numbers[-1]}") if numbers else None
+
+
+def upsert_rows(rows: DataFrame, key: list[str], order: list[str], folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Keeps a table of the last row of each key: each micro-batch merges into the version before it and writes the next one.
+
+    A batch that is repeated after a failure merges into the same version again and replaces its own, so every row counts once.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        last_wins(batch, ["user_id", "event_type"], ["ts", "event_id"]).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        old = latest_version(batch.sparkSession, folder, number)
+        merged = last_wins(batch if old is None else old.unionByName(batch), key, order)
+        merged.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    return rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def upsert_latest(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """The last event of each (user_id, event_type)."""
+    return upsert_rows(events, ["user_id", "event_type"], ["ts", "event_id"], folder, checkpoint)

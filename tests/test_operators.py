@@ -241,3 +241,62 @@ def test_upserts_and_fallbacks(spark):
     gold = spark.createDataFrame([(1, "x", "g1"), (5, "y", "g5"), (6, "z", "g6"), (7, "z", "g7")], "id long, key string, gold string")
     rows = spark.createDataFrame([(1, "y"), (None, "y"), (None, "z"), (8, "x")], "id long, key string")
     assert sorted(((r.way, r.gold) for r in lists.fallback_join(rows, gold, ["id", "key"], "gold").collect()), key=repr) == [("id", "g1"), ("key", "g1"), ("key", "g5"), (None, None)]
+
+
+def test_chunks_by_plain_packing(spark):
+    def plain(sizes, budget, between, empty_first):
+        out, n, used, first = [], 0, 0, True
+        for s in sizes:
+            if (used and used + between + s > budget) or (empty_first and first and s > budget):
+                n, used = n + 1, s
+            else:
+                used += s + (between if used else 0)
+            out.append(n)
+            first = False
+        return out
+
+    sizes = [[5, 5, 20, 1], [30], [], None, [1] * 12, [11, 1, 9]]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, s array<long>")
+    for how in ((10, 0, False), (10, 1, False), (10, 2, True)):
+        got = {r.id: r.n for r in df.select("id", chunks.packed(F.col("s"), *how).alias("n")).collect()}
+        assert got == {i: plain(s or [], *how) for i, s in enumerate(sizes)}
+    windows = chunks.token_windows(spark.createDataFrame([(1, list("abcdefg")), (2, [])], "id long, ws array<string>"), "id", F.col("ws"), 4, 1).orderBy("window").collect()
+    assert [(r.first, r.text) for r in windows] == [(0, "a b c d"), (3, "d e f g")]
+
+
+def test_arrow_files_and_paths(spark, tmp_path):
+    import pyarrow as pa
+
+    from lodestrata.sources import files
+
+    table = pa.table({"id": [1, 2, 3], "text": ["a", None, "c"], "more": [0.5, 0.5, 0.5]})
+    with pa.ipc.new_stream(str(tmp_path / "a.arrow"), table.schema) as w:
+        w.write_table(table)
+    with pa.ipc.new_file(str(tmp_path / "b.arrow"), table.schema) as w:
+        w.write_table(table.slice(1))
+    got = files.arrow_rows(spark, str(tmp_path / "*.arrow"), "id long, text string, other int").collect()
+    assert sorted((r.id, r.text, r.other) for r in got if r.text) == [(1, "a", None), (3, "c", None), (3, "c", None)] and len(got) == 5
+    assert [p.rsplit("/", 1)[1] for p in files.paths(spark, [str(tmp_path / "b*"), str(tmp_path / "*.arrow"), str(tmp_path / "none*")])] == ["a.arrow", "b.arrow"]
+    assert files.resolved("d", "first", None, "membench_high") == ["d/first/high.json"] and files.exists(spark, str(tmp_path)) and not files.exists(spark, str(tmp_path / "x"))
+
+
+def test_sessions_and_merged_upserts(spark, sf_dir, tmp_path):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch.repartition(4).write.parquet(str(tmp_path / "in"))
+    S.upsert_latest(S.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    want = memory.last_wins(batch, ["user_id", "event_type"], ["ts", "event_id"])
+    got = S.latest_version(spark, str(tmp_path / "out"))
+    assert sorted((r.user_id, r.event_type, r.event_id) for r in got.collect()) == sorted((r.user_id, r.event_type, r.event_id) for r in want.collect())
+    # a batch that comes again changes nothing
+    S.upsert_latest(S.read_events(spark, str(tmp_path / "in"), 2), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
+    assert S.latest_version(spark, str(tmp_path / "out")).count() == got.count()
+    s = S.sessions(batch, "6 hours").collect()
+    assert sum(r.n for r in s) == batch.count()
+
+
+def test_vectors_that_have_no_cosine(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0]), (None, [1.0])], "a array<double>, b array<double>")
+    got = [r[0] for r in df.select(vector.cosine_or_null(F.col("a"), F.col("b"))).collect()]
+    assert abs(got[0] - 1) < 1e-12 and got[1:] == [None, None, None]
+    mean = spark.createDataFrame([([1.0, 3.0], 1, [3.0, 5.0])], "m array<double>, n int, x array<double>").select(vector.running_mean(F.col("m"), F.col("n"), F.col("x"))).first()[0]
+    assert mean == [2.0, 4.0]
