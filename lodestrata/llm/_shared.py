@@ -12,9 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import ascii_lower  # noqa: F401
+
 #: Fixed pattern of the query contracts: ASCII white space divides words.
 BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,18 +96,6 @@ def small_enough(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def ascii_lower(text: Column) -> Column:
-    """text with A-Z in lower case and every other character as it was.
-
-    lower() is far faster than translate() but also changes letters beyond ASCII; it serves
-    wherever the characters beyond ASCII are the same before and after it.
-    """
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")
-    return F.when(F.lower(beyond) == beyond, F.lower(text)).otherwise(
-        F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
-    )
-
-
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     return F.greatest(F.size(F.array_remove(F.split(text, BETWEEN_WORDS, -1), "")), F.lit(0)).cast("long")

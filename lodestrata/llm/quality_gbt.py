@@ -139,7 +139,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_training_rows: int = 40_000)
     sample = (
         docs.select("doc_id", "text").join(drawn, "doc_id").select(F.struct("doc_id", "label").alias("doc_id"), "text")
         .mapInArrow(_statistics, "doc_id struct<doc_id: " + docs.schema["doc_id"].dataType.simpleString() + ", label: int>, stats array<float>")
-        .select("doc_id.*", "stats").dropDuplicates(["doc_id"]).orderBy("doc_id").select("stats", "label").toArrow()
+        .select("doc_id.*", "stats").groupBy("doc_id").agg(F.min(F.struct("stats", "label")).alias("one"))  # of an id with several texts one, always the same
+        .orderBy("doc_id").select("one.*").toArrow()
     )
     x = sample.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES))
     return fit(x, sample.column("label").to_numpy().astype(float))

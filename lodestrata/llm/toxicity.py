@@ -21,7 +21,9 @@ from lodestrata.llm.quality_gbt import held_out, labels_of
 from lodestrata.llm.words import Words, batches_of_text, mixed, words_of
 
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-DIM, HIDDEN, WINDOW, STRIDE = 8, 8, 32, 24
+DIM, HIDDEN, WINDOW = 8, 8, 32
+#: Texts are scored in windows that overlap by half, so any passage of up to 17 words lies whole in one; the fit takes fewer.
+STRIDE, FIT_STRIDE = 16, 24
 
 
 @dataclass
@@ -61,12 +63,12 @@ def vocabulary(w: Words) -> Vocabulary:
     return Vocabulary(of.reshape(-1), (found % np.uint64(WORD_ROWS)).astype(np.int32), both, begin)
 
 
-def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, text) of each window: one every STRIDE words, up to the one that reaches the text's end; none for no words."""
+def windows(w: Words, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, text) of each window: one every `stride` words, up to the one that reaches the text's end; none for no words."""
     n = np.diff(w.text)
-    count = np.where(n == 0, 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1))
+    count = np.where(n == 0, 0, np.maximum(1, -(-(n - WINDOW) // stride) + 1))
     text = np.repeat(np.arange(len(n)), count)
-    return _ranges(np.zeros(len(n), np.int64), count) * STRIDE + w.text[text], text
+    return _ranges(np.zeros(len(n), np.int64), count) * stride + w.text[text], text
 
 
 def window_words(w: Words, v: Vocabulary, first: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -207,7 +209,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, least_steps: int = 100
     if len(y) == 0 or y.min() == y.max() or not len(w.hash):
         return net
     v = vocabulary(w)
-    first, text = windows(w)
+    first, text = windows(w, FIT_STRIDE)
     of_word = np.repeat(np.arange(len(texts)), np.diff(w.text))
     # the first component of each vector starts as what the labels say of its row alone
     one = np.unique(of_word.astype(np.int64) * len(v.row) + v.of)
@@ -300,7 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, ma
     drawn = F.broadcast(ids[0].union(ids[1]))  # at most 2 * (max_toxic + max_other) rows
     sample = (
         docs.where(F.length("text") <= max_chars).select(F.col("doc_id"), "text").join(drawn, "doc_id")
-        .select("doc_id", "label", "text").toArrow().to_pandas().drop_duplicates("doc_id")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pandas()  # of an id with several texts the smallest
     )
     sample["order"] = sample.doc_id.map(lambda i: mixed(np.array([i]).astype(np.uint64))[0])
     sample = sample.sort_values("order").groupby("label").head(max_other)
