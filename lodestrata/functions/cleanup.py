@@ -92,6 +92,17 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total > 0, 2 * F.size(F.array_intersect(a, b)) / total).otherwise(0.0)
 
 
+def char_tfidf_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two texts' character counts, where characters that only one of them has weigh 1.5; 0 for an empty text."""
+    x, y = F.array_remove(F.split(a, ""), ""), F.array_remove(F.split(b, ""), "")
+    n = lambda xs, c: F.size(F.filter(xs, lambda z: z == c)).cast("double")
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, c: acc + f(c))
+    shared = F.array_intersect(x, y)
+    square = lambda own, other: total(shared, lambda c: n(own, c) * n(own, c)) + total(F.array_except(own, other), lambda c: n(own, c) * n(own, c) * 2.25)
+    length = F.sqrt(square(x, y) * square(y, x))
+    return F.when(length > 0, total(shared, lambda c: n(x, c) * n(y, c)) / length).otherwise(0.0)
+
+
 def change_ratio(old: Column, new: Column) -> Column:
     """1 - Jaccard of the sets of characters."""
     return 1 - T.set_jaccard(F.array_distinct(F.split(old, "")), F.array_distinct(F.split(new, "")))

@@ -173,7 +173,56 @@ WITH e AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, C
 x AS (SELECT 'facts' AS section, user_id, event_type || ' ' || k AS what, min(s) AS since, max(s) AS until FROM e GROUP BY ALL UNION ALL SELECT 'keys', user_id, k, min(s), max(s) FROM e GROUP BY ALL UNION ALL SELECT 'days', user_id, d, min(s), max(s) FROM e GROUP BY ALL)
 SELECT user_id, what, since, until, section, row_number() OVER (PARTITION BY section, user_id ORDER BY since, what) AS place FROM x QUALIFY place <= 5"""
 
+def combined_text_similarity(spark, sf_dir):
+    """Parts against the part before in their brand: words, characters and character pairs together where the types are the same."""
+    p = table(spark, sf_dir, "part")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    pairs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.lag(F.concat_ws(" ", "p_name", "p_type")).over(w).alias("b"), (F.col("p_type") == F.lag("p_type").over(w)).cast("double").alias("same")).where("b is not null")
+    words = lambda c: F.array_distinct(T.word_tokens(F.col(c)))
+    dice, bigram = C.dice(words("a"), words("b")), T.set_jaccard(C.ngrams(T.ascii_lower(F.col("a"))), C.ngrams(T.ascii_lower(F.col("b"))))
+    tfidf = C.char_tfidf_cosine(F.col("a"), F.col("b"))
+    return pairs.select("p_partkey", rounded(tfidf).alias("tfidf"), S.combined_similarity(dice, tfidf, bigram, F.col("same")).alias("score"))
+
+
+_WORDSET = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda w: w <> ''))"
+_CHARS = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
+_SQUARES = "(list_sum(list_transform(list_distinct({0}), lambda c: CASE WHEN list_contains({1}, c) THEN 1.0 ELSE 2.25 END * len(list_filter({0}, lambda z: z = c)) * len(list_filter({0}, lambda z: z = c)))))"
+COMBINED = f"""
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS a, lag(p_name || ' ' || p_type) OVER w AS b, p_type = lag(p_type) OVER w AS same FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+g AS (SELECT p_partkey, same, {_WORDSET.format('a')} AS u, {_WORDSET.format('b')} AS v, {_G2.format('lower(a)')} AS m, {_G2.format('lower(b)')} AS n, {_CHARS.format('a')} AS x, {_CHARS.format('b')} AS y FROM p WHERE b IS NOT NULL),
+s AS (SELECT p_partkey, same, 2 * len(list_intersect(u, v)) / (len(u) + len(v)) AS dice, len(list_intersect(m, n)) / (len(m) + len(n) - len(list_intersect(m, n))) AS bigram,
+  coalesce(list_sum(list_transform(list_distinct(list_intersect(x, y)), lambda c: len(list_filter(x, lambda z: z = c)) * len(list_filter(y, lambda z: z = c)))), 0) / sqrt({_SQUARES.format('x', 'y')} * {_SQUARES.format('y', 'x')}) AS tfidf FROM g)
+SELECT p_partkey, round(tfidf, 6)::DOUBLE AS tfidf, CASE WHEN same THEN round(dice * 0.40 + tfidf * 0.35 + bigram * 0.25, 6)::DOUBLE ELSE 0.0::DOUBLE END AS score FROM s"""
+
+
+def temporal_retrieval(spark, sf_dir):
+    """Documents whose number is an event of two days, by the score of their label; all others only where the interval holds none."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    inside = e.where((F.col("ts") >= F.lit("2024-01-03").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-05").cast("timestamp"))).select(F.col("event_id").alias("doc_id"), "value")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    found = d.join(inside, "doc_id")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("value"), "doc_id")).cast("long")).where("place <= 5").select("doc_id", "lang", "place")
+
+
+TEMPORAL = "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY value DESC, doc_id) AS place FROM documents JOIN events ON event_id = doc_id WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-05' QUALIFY place <= 5"
+
+
+def short_to_mid_tier(spark, sf_dir):
+    """A user's short tier holds its ten latest events; what was pushed out is the mid tier, in pages of seven with links to the page before."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    early = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    out = e.select("user_id", "event_id", late.alias("late"), early.alias("early")).where("late > 10")
+    pages = out.groupBy("user_id", F.floor((F.col("early") - 1) / 7).cast("long").alias("page")).agg(F.count("*").alias("n"), F.min_by("event_id", "early").alias("first_event"))
+    return pages.withColumn("before", F.lag("first_event").over(Window.partitionBy("user_id").orderBy("page")))
+
+
+TIERS = """
+WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS late, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS early FROM events),
+p AS (SELECT user_id, (early - 1) // 7 AS page, count(*) AS n, min_by(event_id, early) AS first_event FROM r WHERE late > 10 GROUP BY ALL) SELECT user_id, page, n, first_event, lag(first_event) OVER (PARTITION BY user_id ORDER BY page) AS before FROM p"""
+
 QUERIES = {
+    "combined_text_similarity": (combined_text_similarity, COMBINED), "temporal_retrieval": (temporal_retrieval, TEMPORAL), "short_to_mid_tier": (short_to_mid_tier, TIERS),
     "bm25_tfidf_rerank": (bm25_tfidf_rerank, RERANK), "lightweight_hybrid": (lightweight_hybrid, LIGHT), "relation_bm25": (relation_bm25, RELATIONS),
     "synonymy_edges": (synonymy_edges, SYNONYMS), "conflict_candidates": (conflict_candidates, CONFLICTS), "passage_search": (passage_search, PASSAGES),
     "topic_fallback": (topic_fallback, TOPIC), "mmr_select": (mmr_select, None), "greedy_similarity_dedup": (greedy_similarity_dedup, GREEDY),
