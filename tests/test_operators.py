@@ -277,7 +277,7 @@ def test_arrow_files_and_paths(spark, tmp_path):
     got = files.arrow_rows(spark, str(tmp_path / "*.arrow"), "id long, text string, other int").collect()
     assert sorted((r.id, r.text, r.other) for r in got if r.text) == [(1, "a", None), (3, "c", None), (3, "c", None)] and len(got) == 5
     assert [p.rsplit("/", 1)[1] for p in files.paths(spark, [str(tmp_path / "b*"), str(tmp_path / "*.arrow"), str(tmp_path / "none*")])] == ["a.arrow", "b.arrow"]
-    assert files.resolved("d", "first", None, "membench_high") == ["d/first/high.json"] and files.exists(spark, str(tmp_path)) and not files.exists(spark, str(tmp_path / "x"))
+    assert files.resolved("d", "first", None, "some_high") == ["d/first/high.json"] and files.exists(spark, str(tmp_path)) and not files.exists(spark, str(tmp_path / "x"))
 
 
 def test_sessions_and_merged_upserts(spark, sf_dir, tmp_path):
