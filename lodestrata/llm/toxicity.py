@@ -302,12 +302,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, ma
     drawn = F.broadcast(ids[0].union(ids[1]))  # at most 2 * (max_toxic + max_other) rows
     sample = (
         docs.where(F.length("text") <= max_chars).select(F.col("doc_id"), "text").join(drawn, "doc_id")
-        .groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow().to_pandas()  # of an id with several texts the smallest
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text")).toArrow()  # of an id with several texts the smallest
     )
-    sample["order"] = sample.doc_id.map(lambda i: mixed(np.array([i]).astype(np.uint64))[0])
-    sample = sample.sort_values("order").groupby("label").head(max_other)
-    sample = sample[(sample.label == 0) | (sample.groupby("label").cumcount() < max_toxic)]
-    net = fit(sample.text.tolist(), sample.label.to_numpy(float))
+    label, order = sample.column("label").to_numpy(), np.argsort(mixed(sample.column("doc_id").to_numpy().astype(np.uint64)))
+    kept = np.concatenate([order[label[order] == k][:most] for k, most in ((0, max_other), (1, min(max_toxic, max_other)))])
+    chosen = order[np.isin(order, kept)]
+    texts = sample.column("text").take(pa.array(chosen)).to_pylist()
+    del sample  # the driver's memory is the narrow one here
+    net = fit(texts, label[chosen].astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_text(batches, most_bytes=8_000_000):
