@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann_forest, decontam, line_dedup, mixing, ngram_lm, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
+from lodestrata.llm import ann_forest, decontam, line_dedup, mixing, ngram_lm, periodic, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
+from lodestrata.llm._shared import BETWEEN_WORDS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +76,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the texts whose id's checksum is divisible by ten repeat some of their words from one place on, as op13's contract states."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    changed = F.when(h % 10 == 0, F.array_remove(F.split("text", BETWEEN_WORDS, -1), ""))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), changed.alias("words")).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
+    again = F.transform(F.sequence("a", (F.col("n") - 1).cast("int")), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(made_periodic(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "peak.start", "peak.length", "peak.period",
+        F.expr("(1000 * peak.length) div peak.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_neighbours, op2_quality, op3_simhash, op4_line_dedup, op5_toxicity, op6_secrets,
         op7_lm_scoring, op8_token_counts, op9_mixing, op10_decontamination,
+        op13_periodic_runs,
     )
 }
 ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL}

@@ -10,6 +10,9 @@ import numpy as np
 SPACE = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
+#: Fixed set of the query contracts: all of ASCII but letters and digits.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[[b for b in range(128) if not chr(b).isalnum()]] = True
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -34,12 +37,16 @@ def coded(texts: list[str | bytes | None]) -> list[bytes]:
     return [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def words_of(texts: list[str | bytes | None]) -> Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z in lower case; none for null."""
+def words_of(texts: list[str | bytes | None], lower: bool = True, between: np.ndarray = _IS_SPACE) -> Words:
+    """The words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z in lower case if asked; none for null.
+
+    between marks the bytes that divide words, if not ASCII white space; the new line must be one of them.
+    """
     parts = coded(texts)
-    joined = b"\n".join(parts).lower() + b"\n"  # bytes.lower() changes A-Z only
+    joined = b"\n".join(parts) + b"\n"
+    joined = joined.lower() if lower else joined  # bytes.lower() changes A-Z only
     raw = np.frombuffer(joined + b"\0" * 8, np.uint8)
-    space = _IS_SPACE[raw[:-8]]
+    space = between[raw[:-8]]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
