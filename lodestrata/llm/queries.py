@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann_forest, decontam, line_dedup, mixing, ngram_lm, periodic, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
-from lodestrata.llm._shared import BETWEEN_WORDS
+from lodestrata.llm import ann_forest, decontam, lexical_search, line_dedup, mixing, ngram_lm, periodic, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
+from lodestrata.llm.words import batches_of_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,16 +77,36 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _periodic_text(text: str, h: int) -> str:
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space only
+    n, g = len(words), h // 10
+    if n == 0:
+        return text
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    unit = words[a : a + p]
+    whole, rest = divmod(n - a, p)
+    return b" ".join(words[:a] + unit * whole + unit[:rest]).decode("utf-8", "surrogatepass")
+
+
 def made_periodic(docs: DataFrame) -> DataFrame:
-    """doc_id, text: the texts whose id's checksum is divisible by ten repeat some of their words from one place on, as op13's contract states."""
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    changed = F.when(h % 10 == 0, F.array_remove(F.split("text", BETWEEN_WORDS, -1), ""))
-    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), changed.alias("words")).withColumn("n", F.size("words").cast("long"))
-    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
-    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
-    again = F.transform(F.sequence("a", (F.col("n") - 1).cast("int")), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
-    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"))
+    """doc_id, text: the texts whose id's checksum h is divisible by ten repeat some of their words from one place on, as op13's contract states."""
+
+    def change(batches):
+        for batch in batches_of_text(batches):
+            marks = batch.column("h").to_pylist()
+            texts = batch.column("text").to_pylist()
+            for k, h in enumerate(marks):
+                if h is not None and h % 10 == 0 and texts[k]:
+                    texts[k] = _periodic_text(texts[k], h)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")
+    return docs.select("doc_id", "text", h).mapInArrow(change, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +124,7 @@ QUERIES = {
     for f in (
         op1_neighbours, op2_quality, op3_simhash, op4_line_dedup, op5_toxicity, op6_secrets,
         op7_lm_scoring, op8_token_counts, op9_mixing, op10_decontamination,
-        op13_periodic_runs,
+        op11_lexical_search, op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL}
+ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL, "op11_lexical_search": lexical_search.SEARCH_SQL}
