@@ -172,13 +172,15 @@ def fit_temperature(logits: np.ndarray, label: np.ndarray) -> float:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray) -> Model:
     """A model from texts' (buckets, counts) and languages; every fifth of them is left for the temperature, if there are ten."""
     languages = sorted(set(labels))
+    if not languages:
+        return Model([], np.zeros(BUCKETS, np.int32), np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
     label = np.array([languages.index(x) for x in labels], int)
-    used = np.unique(np.concatenate([b for b, _ in rows])) if rows else np.empty(0, int)
+    used = np.unique(np.concatenate([b for b, _ in rows]))
     values = [np.append(c / max(1, c.sum()) * idf[b] * SCALE, 1.0) for b, c in rows]
     places = [np.append(np.searchsorted(used, b), len(used)) for b, _ in rows]
     apart = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 else np.zeros(len(rows), bool)
     seen = np.flatnonzero(~apart)
-    w = fit_ftrl([(places[k], values[k]) for k in seen], label[seen], len(used) + 1, len(languages)) if languages else np.zeros((1, 0))
+    w = fit_ftrl([(places[k], values[k]) for k in seen], label[seen], len(used) + 1, len(languages))
     logits = np.array([values[k] @ w[places[k]] for k in np.flatnonzero(apart)]).reshape(-1, len(languages))
     kept = np.flatnonzero((w[:-1] != 0).any(axis=1))
     row = np.zeros(BUCKETS, np.int32)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import ann_forest, decontam, lexical_search, line_dedup, mixing, ngram_lm, periodic, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
+from lodestrata.llm import ann_forest, decontam, language_id, lexical_search, line_dedup, mixing, ngram_lm, periodic, quality_gbt, secret_scan, simhash_trie, token_counts, toxicity
 from lodestrata.llm.words import batches_of_text
 
 
@@ -81,6 +81,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def _periodic_text(text: str, h: int) -> str:
     words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space only
     n, g = len(words), h // 10
@@ -124,7 +128,7 @@ QUERIES = {
     for f in (
         op1_neighbours, op2_quality, op3_simhash, op4_line_dedup, op5_toxicity, op6_secrets,
         op7_lm_scoring, op8_token_counts, op9_mixing, op10_decontamination,
-        op11_lexical_search, op13_periodic_runs,
+        op11_lexical_search, op12_language_id, op13_periodic_runs,
     )
 }
 ORACLE_SQL = {"op9_mixing": mixing.MIX_SQL, "op10_decontamination": decontam.DECONTAM_SQL, "op11_lexical_search": lexical_search.SEARCH_SQL}
