@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import small_enough, stored
 from lodestrata.llm.words import NOT_ALNUM, batches_of_text, words_of
 
-#: Tables of query terms and candidates up to this many rows are broadcast, others are shuffled.
-MAX_BROADCAST_ROWS = 200_000
+#: Tables of query terms up to this many rows, and numbers of candidate documents up to the other, are broadcast; larger ones are shuffled.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_CANDIDATES = 200_000, 1_000_000
 #: Hashes of query terms up to this number go to the tasks that read documents; with more, all terms are posted and joined with the queries' after that.
 MAX_TERMS_IN_TASKS = 1_000_000
 
@@ -180,9 +180,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     candidates = stored(left.select("query", "row"), "candidates")
 
     # phase three: exact scores of the candidates from all lists
-    rows = small_enough(candidates.select("row").distinct(), MAX_BROADCAST_ROWS)
-    looked_up = _entries(lists).join(rows, "row").join(small_enough(candidates, MAX_BROADCAST_ROWS), "row")
-    exact = looked_up.join(small_enough(pairs.select("query", "item_id", "term", "qf"), MAX_BROADCAST_ROWS), ["query", "term"])
+    rows = small_enough(candidates.select("row").distinct(), MAX_BROADCAST_CANDIDATES)
+    wanted = candidates.join(small_enough(pairs.select("query", "item_id", "term", "qf"), MAX_BROADCAST_ROWS), "query")
+    exact = _entries(lists).join(rows, "row", "left_semi").join(wanted, ["term", "row"])
     scored = exact.groupBy("query", "row").agg(*_summed(F.col("score"), F.first("item_id").alias("item_id"), F.first("doc_id").alias("doc_id")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sum"), "doc_id", "row")).cast("int")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", F.col("sum").alias("score"))
