@@ -3,7 +3,8 @@
 The postings of query terms are lists by term, cut into blocks whose entries are sorted by score, so that a
 frequent term's list is many rows of bounded size. Phase one fetches the heads of the lists: of each query the sums of what its heads hold give a
 lower bound of its k-th score. Phase two fetches from each list all entries of at least that bound divided by the
-query's number of lists: a document without any such entry can't reach the bound. Phase three looks up the
+query's number of lists: a document without any such entry can't reach the bound. What is fetched meets by
+slices of documents, each entry once for all queries, and is summed there. Phase three looks up the
 exact scores of those candidates whose upper bound still reaches the raised lower bound.
 """
 
@@ -23,6 +24,8 @@ from lodestrata.llm.words import NOT_ALNUM, batches_of_text, words_of
 MAX_BROADCAST_ROWS, MAX_BROADCAST_CANDIDATES = 200_000, 1_000_000
 #: Hashes of query terms up to this number go to the tasks that read documents; with more, all terms are posted and joined with the queries' after that.
 MAX_TERMS_IN_TASKS = 1_000_000
+#: Queries go to the tasks of phase two in parts of about this many lists.
+MAX_PAIRS_IN_TASKS = 500_000
 
 
 def _counted(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,9 +57,9 @@ def _bounds(of: np.ndarray) -> np.ndarray:
 
 
 def posted(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """Blocks of postings: term, rows, ids (doc_id), tf, n (terms of the document), and blocks without a term that count documents and their terms.
+    """Blocks of postings: term, slice, rows, ids (doc_id), tf, n (terms of the document), and blocks without a term that count documents and their terms.
 
-    wanted: the sorted hashes of the terms to post; None for all. A block holds the documents of one slice of a batch.
+    wanted: the sorted hashes of the terms to post; None for all. A block holds the documents of one slice of a batch, named by its first row.
     """
     kind = docs.schema["doc_id"].dataType
 
@@ -74,17 +77,18 @@ def posted(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
             lists = [pa.ListArray.from_arrays(place, batch.column(c).take(pa.array(text))) for c in ("row", "doc_id")]
             lists += [pa.ListArray.from_arrays(place, pa.array(x.astype(np.int64))) for x in (tf, size[text])]
             none = pa.nulls(len(bounds) - 1, pa.int64())
-            names = ["term", "rows", "ids", "tf", "n", "n_docs", "n_terms"]
-            yield pa.RecordBatch.from_arrays([pa.array(term[bounds[:-1]]), *lists, none, none], names)
+            own = pa.array(np.full(len(bounds) - 1, batch.column("row")[0].as_py() if len(batch) else 0))
+            names = ["term", "slice", "rows", "ids", "tf", "n", "n_docs", "n_terms"]
+            yield pa.RecordBatch.from_arrays([pa.array(term[bounds[:-1]]), own, *lists, none, none], names)
             empty = [pa.nulls(1, x.type) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *empty, pa.array([int((size > 0).sum())]), pa.array([int(size.sum())])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *empty, pa.array([int((size > 0).sum())]), pa.array([int(size.sum())])], names)
 
-    shape = f"term long, rows array<long>, ids array<{kind.simpleString()}>, tf array<long>, n array<long>, n_docs long, n_terms long"
+    shape = f"term long, slice long, rows array<long>, ids array<{kind.simpleString()}>, tf array<long>, n array<long>, n_docs long, n_terms long"
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(post, shape)
 
 
 def by_impact(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """Blocks with the column weight to (term, best, rows, ids, scores), each sorted from the highest score on, ties to the smaller row.
+    """Blocks with the column weight to (term, slice, best, rows, ids, scores), each sorted from the highest score on, ties to the smaller row.
 
     The score of an entry is weight * ((1000000000 * tf) div (1000 * tf + 8 * m)), with m = 25 + (75 * n * n_docs) div n_terms.
     """
@@ -99,10 +103,10 @@ def by_impact(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
             order = np.lexsort((rows, -scores, np.repeat(np.arange(len(size)), size)))
             place = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(place), x) for x in (pa.array(rows[order]), flat["ids"].take(pa.array(order)), pa.array(scores[order]))]
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(scores[order][place[:-1]] if len(size) else scores), *lists], ["term", "best", "rows", "ids", "scores"])
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("slice"), pa.array(scores[order][place[:-1]] if len(size) else scores), *lists], ["term", "slice", "best", "rows", "ids", "scores"])
 
     kind = blocks.schema["ids"].dataType.simpleString()
-    return blocks.select("term", "weight", "rows", "ids", "tf", "n").mapInArrow(score, f"term long, best long, rows array<long>, ids {kind}, scores array<long>")
+    return blocks.select("term", "slice", "weight", "rows", "ids", "tf", "n").mapInArrow(score, f"term long, slice long, best long, rows array<long>, ids {kind}, scores array<long>")
 
 
 def build_lists(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -120,7 +124,7 @@ def build_lists(docs: DataFrame, queries: DataFrame) -> DataFrame:
     df = blocks.groupBy("term").agg(F.sum(F.size("rows")).alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * n_docs + 2)) / (2 * F.col("df") + 1))).alias("weight")
     weights = small_enough(stored(df.select("term", weight), "weights"), MAX_BROADCAST_ROWS)
-    dealt = blocks.join(weights, "term").withColumn("block", F.element_at("rows", 1)).repartitionByRange("term", "block")
+    dealt = blocks.join(weights, "term").repartitionByRange("term", "slice")
     return stored(by_impact(dealt, n_docs, n_terms).where("best > 0"), "lists")
 
 
@@ -140,6 +144,47 @@ def _summed(score: Column, *more: Column):
     return F.sum(F.col("qf") * score).alias("sum"), *more
 
 
+def fetched_sums(lists: DataFrame, cuts: DataFrame, k: int) -> DataFrame:
+    """query, row, sum, upper: what the entries of lists from each query's thresholds on sum to, and the most that a document's score can be.
+
+    cuts: query, term, qf, bound, cut, rest. Entries meet by slices of documents; of each slice the documents stay whose upper bound reaches
+    the query's bound and the slice's own k-th sum. The thresholds go to the driver: the caller bounds their number.
+    """
+    asked = cuts.select("query", "term", "qf", "bound", "cut", "rest").orderBy("query", "term").toArrow()
+    query, term, qf, bound, cut, rest = (asked.column(c).to_numpy() for c in ("query", "term", "qf", "bound", "cut", "rest"))
+    own = np.concatenate([[0], np.flatnonzero(np.diff(query)) + 1, [len(query)]]) if len(query) else np.zeros(1, int)
+
+    def add(group: pa.Table) -> pa.Table:
+        size = group.column("rows").combine_chunks().value_lengths().to_numpy()
+        rows, scores = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "scores"))
+        known, at = np.unique(rows, return_inverse=True)
+        ends = np.cumsum(size)
+        block = {t: (e - n, e) for t, e, n in zip(group.column("term").to_pylist(), ends.tolist(), size.tolist(), strict=True)}
+        out = []
+        for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True):
+            sums, seen = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+            for p in range(a, b):
+                if (place := block.get(int(term[p]))) is not None:
+                    mine = scores[place[0] : place[1]]
+                    n = int(np.searchsorted(-mine, -cut[p], "right"))
+                    here = at[place[0] : place[0] + n]  # a document is once in a block
+                    sums[here] += qf[p] * mine[:n]
+                    seen[here] += rest[p]
+            some = np.flatnonzero(sums)
+            if len(some):
+                upper = sums[some] + (rest[a:b].sum() - seen[some])
+                least = max(bound[a], np.partition(sums[some], -k)[-k] if len(some) >= k else 0)
+                left = upper >= least
+                out.append((np.full(left.sum(), query[a]), known[some[left]], sums[some[left]], upper[left]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table(dict(zip(("query", "row", "sum", "upper"), columns, strict=True)))
+
+    least = small_enough(cuts.groupBy("term").agg(F.min("cut").alias("least")), MAX_BROADCAST_ROWS)
+    n = F.size(F.filter("scores", lambda s: s >= F.col("least")))
+    reached = lists.join(least, "term").where("best >= least").select("term", "slice", F.slice("rows", F.lit(1), n).alias("rows"), F.slice("scores", F.lit(1), n).alias("scores"))
+    return stored(reached.groupBy("slice").applyInArrow(add, "query long, row long, sum long, upper long"), "sums")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """The k highest-scoring documents of each item.
 
@@ -165,19 +210,17 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     m = pairs.groupBy("query").agg(F.count("*").alias("m"))
     limits = m.join(first, "query", "left").select("query", "m", F.coalesce("bound", F.lit(0)).alias("bound"))
     cut = F.expr("(bound + m * qf - 1) div (m * qf)")
-    cuts = stored(pairs.join(limits, "query").withColumn("cut", F.greatest(cut, F.lit(1))), "thresholds")
+    cuts = pairs.join(limits, "query").withColumn("cut", F.greatest(cut, F.lit(1)))
     # what an entry that is not fetched can add at most
-    cuts = cuts.withColumn("rest", F.col("qf") * F.least(F.col("best"), F.col("cut") - 1))
-    least = small_enough(cuts.groupBy("term").agg(F.min("cut").alias("least")), MAX_BROADCAST_ROWS)
-    reached = _entries(lists.join(least, "term").where("best >= least"), "least").where("score >= least")
-    by_term = small_enough(cuts.select("term", "query", "qf", "cut", "rest"), MAX_BROADCAST_ROWS)
-    fetched = reached.select("term", "row", "score").join(by_term, "term").where("score >= cut")
-    sums = stored(fetched.groupBy("query", "row").agg(*_summed(F.col("score"), F.sum("rest").alias("rest_seen"))), "sums")
+    cuts = stored(cuts.withColumn("rest", F.col("qf") * F.least(F.col("best"), F.col("cut") - 1)), "thresholds")
+    parts, sums = max(1, -(-cuts.count() // MAX_PAIRS_IN_TASKS)), None
+    for part in range(parts):
+        of_part = cuts.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part)
+        found = fetched_sums(lists, of_part, k)
+        sums = found if sums is None else sums.unionByName(found)
     second = _kth(sums, k, "raised")
-    whole = cuts.groupBy("query").agg(F.sum("rest").alias("rest_all")).join(second, "query", "left")
-    upper = F.col("sum") + F.col("rest_all") - F.col("rest_seen")
-    left = sums.join(small_enough(whole, MAX_BROADCAST_ROWS), "query").where(F.col("raised").isNull() | (upper >= F.col("raised")))
-    candidates = stored(left.select("query", "row"), "candidates")
+    left = sums.join(small_enough(limits.join(second, "query", "left"), MAX_BROADCAST_ROWS), "query")
+    candidates = stored(left.where(F.col("upper") >= F.greatest("bound", F.coalesce("raised", F.lit(0)))).select("query", "row"), "candidates")
 
     # phase three: exact scores of the candidates from all lists
     rows = small_enough(candidates.select("row").distinct(), MAX_BROADCAST_CANDIDATES)

@@ -70,6 +70,7 @@ def test_vocabularies_too_large_for_tasks_and_broadcasts(spark, monkeypatch):
     docs, items = list(enumerate(texts(3, 120))), list(enumerate(texts(4, 12)))
     monkeypatch.setattr(lexical_search, "MAX_TERMS_IN_TASKS", 3)
     monkeypatch.setattr(lexical_search, "MAX_BROADCAST_ROWS", 3)
+    monkeypatch.setattr(lexical_search, "MAX_PAIRS_IN_TASKS", 20)
     monkeypatch.setattr(lexical_search, "MAX_BROADCAST_CANDIDATES", 3)
     assert got(spark, docs, items) == brute(docs, items)
 
