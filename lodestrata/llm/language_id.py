@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm._shared import small_enough
 from lodestrata.llm.words import batches_of_text, mixed
 
 BUCKETS, LONGEST = 1 << 18, 4
@@ -229,7 +230,10 @@ def fitted(docs: DataFrame, rows_per_language: int = 1000, max_training_rows: in
     learned = learned.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     n_texts, df = document_frequencies(learned)
     chance = F.xxhash64("doc_id", F.xxhash64("text"))
-    drawn = learned.select("lang", chance.alias("chance")).distinct()
+    counts = learned.groupBy("lang").agg(F.count("*").alias("n"))
+    # chances are dealt evenly, so about twice as many rows as are wanted of a language go on to be ranked
+    often = F.pmod("chance", F.lit(1 << 30)) < F.lit(2.0 * (1 << 30) * rows_per_language) / F.col("n")
+    drawn = learned.select("lang", chance.alias("chance")).join(small_enough(counts, 10_000), "lang").where(often).select("lang", "chance").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("chance"))
     drawn = drawn.withColumn("place", place).where(F.col("place") <= rows_per_language).orderBy("place", "chance", "lang").limit(max_training_rows)
 
