@@ -185,14 +185,15 @@ def fetched_sums(lists: DataFrame, cuts: DataFrame, k: int) -> DataFrame:
     return stored(reached.groupBy("slice").applyInArrow(add, "query long, row long, sum long, upper long"), "sums")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, slack: int = 4) -> DataFrame:
     """The k highest-scoring documents of each item.
 
     docs has doc_id and text, items has item_id and text; other columns are ignored. Terms are maximal runs of ASCII letters, digits and characters beyond
     ASCII, A-Z in lower case, told by 64-bit hashes; null and empty texts have none. Scores are as in by_impact(), with
     weight floor(1000 * ln((2 * N + 2) / (2 * df + 1))); a term that an item repeats counts as often. Returns item_id, rank (from 1), doc_id, score, of scores above 0:
     ties go to the smaller doc_id (null first), then to the row read first. Each row of docs is a document and each row of items an item, so
-    repeated rows have results of their own; items without terms or matches have none.
+    repeated rows have results of their own; items without terms or matches have none. Lists are fetched down to bound / (slack * m): 1 fetches least;
+    more narrows what entries that are not fetched can add, and so the candidates. Results are the same.
     """
     asked = stored(query_terms(items), "asked")
     lists = build_lists(docs, asked)
@@ -209,7 +210,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     # phase two: a document that reaches a query's bound has an entry of at least bound / m in one of its m lists
     m = pairs.groupBy("query").agg(F.count("*").alias("m"))
     limits = m.join(first, "query", "left").select("query", "m", F.coalesce("bound", F.lit(0)).alias("bound"))
-    cut = F.expr("(bound + m * qf - 1) div (m * qf)")
+    cut = F.expr(f"(bound + {int(slack)} * m * qf - 1) div ({int(slack)} * m * qf)")
     cuts = pairs.join(limits, "query").withColumn("cut", F.greatest(cut, F.lit(1)))
     # what an entry that is not fetched can add at most
     cuts = stored(cuts.withColumn("rest", F.col("qf") * F.least(F.col("best"), F.col("cut") - 1)), "thresholds")
