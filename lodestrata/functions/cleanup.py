@@ -106,3 +106,30 @@ def char_tfidf_cosine(a: Column, b: Column) -> Column:
 def change_ratio(old: Column, new: Column) -> Column:
     """1 - Jaccard of the sets of characters."""
     return 1 - T.set_jaccard(F.array_distinct(F.split(old, "")), F.array_distinct(F.split(new, "")))
+
+
+#: Fixed values of the update rule: the range of Han characters, weights of a Han character, of a word and of any other character.
+HAN, TOKENS_A_HAN, TOKENS_A_WORD, TOKENS_A_CHARACTER = r"[\x{4E00}-\x{9FFF}]", 1.5, 1.33, 0.5
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A text's tokens by its Han characters, its words without any that have a letter, and its other characters; 0 for an empty text, else 1 at least."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"\p{L}") & ~w.rlike(HAN))
+    rest = F.length(F.regexp_replace(text, HAN, ""))
+    n = (F.length(text) - rest) * TOKENS_A_HAN + F.size(words) * TOKENS_A_WORD + rest * TOKENS_A_CHARACTER
+    return F.when(F.length(text) > 0, F.greatest(F.floor(n), F.lit(1))).otherwise(0).cast("long")
+
+
+def long_enough(text: Column, least: int = 20) -> Column:
+    """Whether a text has at least so many characters; null has none."""
+    return F.coalesce(F.length(text) >= least, F.lit(False))
+
+
+def keep_update(new: Column, old: Column, short: int = 200, small_text: float = 0.7, large_text: float = 0.2) -> Column:
+    """Whether a new text replaces an old one: its set of characters differs, and by less than small_text, or large_text where the old one has `short` tokens or more.
+
+    Null counts as an empty text; two empty texts do not differ.
+    """
+    old, new = F.coalesce(old, F.lit("")), F.coalesce(new, F.lit(""))
+    ratio = F.when((old == "") & (new == ""), 0.0).otherwise(change_ratio(old, new))
+    return (ratio > 0) & (ratio < F.when(estimated_tokens(old) < short, small_text).otherwise(large_text))

@@ -63,8 +63,8 @@ def jaccard(docs: DataFrame, queries: DataFrame, multiset: bool = False) -> Data
     return common.select("query_id", "doc_id", rounded(F.col("common") / (F.col("n_doc") + F.col("n_query") - F.col("common"))).alias("score"))
 
 
-def _best_of_group(k: int):
-    """The k best of each query among the rows of a group, by cosines rounded to six digits, ties to the smaller id."""
+def _best_of_group(k: int, skip_self: bool, digits: int):
+    """The k best of each query among the rows of a group, by rounded cosines, ties to the larger `late`, then the smaller id."""
     matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
 
     def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -72,31 +72,36 @@ def _best_of_group(k: int):
         if len(rows) and len(asked):
             x, q = matrix(rows, "embedding"), matrix(asked, "query")
             ids, queries = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
+            late = rows.column("late").to_numpy()
+            order = np.lexsort((ids, -late))
+            late = late[order]
             x, ids, norms = x[order], ids[order], np.linalg.norm(x, axis=1)[order]
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                scores = np.round(part @ x.T / np.maximum(np.linalg.norm(part, axis=1)[:, None] * norms, 1e-12), 6)
-                scores[queries[at : at + 256, None] == ids] = -np.inf
-                # the sort is stable and ids ascend, so ties go to the smaller id
+                scores = np.round(part @ x.T / np.maximum(np.linalg.norm(part, axis=1)[:, None] * norms, 1e-12), digits)
+                if skip_self:
+                    scores[queries[at : at + 256, None] == ids] = -np.inf
+                # the sort is stable and rows are in the order of ties
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 found = np.take_along_axis(scores, top, axis=1)
                 row, place = np.nonzero(found > -np.inf)
-                out.append((queries[at + row], ids[top[row, place]], found[row, place]))
-        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
+                out.append((queries[at + row], ids[top[row, place]], found[row, place], late[top[row, place]]))
+        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "late"), parts, strict=True)))
 
     return best
 
 
-def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None = None, block: int = 1024, rows_a_task: int = 16_384) -> DataFrame:
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None = None, block: int = 1024, rows_a_task: int = 16_384, late: str | None = None, skip_self: bool = True, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score (cosine), rank: the k best other rows for each of a stated set of queries, in blocks of queries.
 
     vectors: vec_id, embedding; asked: query_id, query; both also the column `within`, where given: rows are then met by queries of the same value only.
     A block meets the rows in slices, and each slice keeps its k best before anything is shuffled. Null vectors take no part; vectors meet those of their own length.
+    Ties go to the larger value of the number column `late`, where given (null last), then to the smaller id. skip_self: a query doesn't find the row of its own id.
+    Scores are compared and returned with `digits` digits.
     """
     extra = [within] if within else []
-    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("length"), *extra)
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("length"), (F.coalesce(F.col(late).cast("double"), F.lit(float("-inf"))) if late else F.lit(0.0)).alias("late"), *extra)
     q = asked.where("query is not null").select(F.col("query_id").cast("long"), "query", F.size("query").alias("length"), *extra)
     blocks, slices = max(1, -(-q.count() // block)), max(1, -(-rows.count() // rows_a_task))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -104,8 +109,9 @@ def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None
     keys = ["length", *extra, "block", "slice"]
     rows = rows.withColumn("slice", own("vec_id", slices)).withColumn("block", every(blocks))
     q = q.withColumn("block", own("query_id", blocks)).withColumn("slice", every(slices))
-    found = rows.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_best_of_group(k), "query_id long, vec_id long, score double")
-    return ranked(found, "query_id", "score", "vec_id", k)
+    found = rows.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_best_of_group(k, skip_self, digits), "query_id long, vec_id long, score double, late double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("late"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("late")
 
 
 def hash_embedding(rows: DataFrame, key: str, words: Column, size: int = 256) -> DataFrame:
@@ -122,6 +128,23 @@ def hash_embedding(rows: DataFrame, key: str, words: Column, size: int = 256) ->
     return summed.select(key, "bucket", (F.col("weight") / norm).alias("weight"))
 
 
+def hash_vectors(rows: DataFrame, key: str, words: Column, size: int = 256) -> DataFrame:
+    """key, vector: hash_embedding() as an array of `size` numbers; texts without words have none."""
+    held = F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("held")
+    found = hash_embedding(rows, key, words, size).groupBy(key).agg(held)
+    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.element_at("held", b.cast("long")), F.lit(0.0))).alias("vector"))
+
+
+def hashed_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the k documents of all whose hash embeddings are nearest to each query's; ties to the smaller id.
+
+    docs: doc_id, text; queries: query_id, text, a stated set. Texts without words are not found and find nothing.
+    """
+    d = hash_vectors(docs.select("doc_id", "text"), "doc_id", T.tokens(F.col("text"))).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    q = written(hash_vectors(queries.select("query_id", "text"), "query_id", T.tokens(F.col("text"))).withColumnRenamed("vector", "query"), "queries")
+    return dense_topk(written(d, "embedded"), q, k, skip_self=False).withColumnRenamed("vec_id", "doc_id")
+
+
 def hashed_cosine(pairs: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """pairs (query_id, doc_id) with the cosine of their hash embeddings; only texts of the pairs are embedded."""
     d = hash_embedding(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", T.tokens(F.col("text")))

@@ -9,7 +9,7 @@ from lodestrata.functions import cleanup as C
 from lodestrata.functions import text as T
 from lodestrata.operators import retrieval as R
 from lodestrata.operators import selection as S
-from lodestrata.plans.retrieval_queries import _BM25, _COS, _dense, _embedded, _lexical, _questions
+from lodestrata.plans.retrieval_queries import _BM25, _COS, _NEAR, _dense, _embedded, _hashed, _lexical, _questions
 from lodestrata.plans.text_queries import _TOKENS
 from lodestrata.session import rounded, table, written
 
@@ -32,19 +32,13 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def lightweight_hybrid(spark, sf_dir):
-    """The 50 best by BM25 and these by embedding, fused by reciprocal ranks; 20 stay."""
-    lexical = written(_lexical(spark, sf_dir, 50).select("query_id", "doc_id", "rank"), "candidates")
-    cosine = R.hashed_cosine(lexical.select("query_id", "doc_id"), table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
-    dense = R.ranked(cosine, "query_id", "score", "doc_id").select("query_id", F.col("doc_id").alias("id"), "rank")
-    fused = R.reciprocal_ranks(lexical.withColumnRenamed("doc_id", "id"), dense)
+    """The 50 best by BM25 and the 50 nearest of all documents by embedding, fused by reciprocal ranks; 20 stay."""
+    lexical = written(_lexical(spark, sf_dir, 50).select("query_id", F.col("doc_id").alias("id"), "rank"), "candidates")
+    fused = R.reciprocal_ranks(lexical, written(_hashed(spark, sf_dir, 50).select("query_id", "id", "rank"), "dense"))
     return R.ranked(fused, "query_id", "score", "id", 20).select("query_id", "id", "score", "rank")
 
 
-LIGHT = f"""WITH {_BM25}, a AS (SELECT query_id, doc_id AS id, rank FROM lex WHERE rank <= 50),
-dt AS (SELECT doc_id AS id, ws FROM w WHERE doc_id IN (SELECT id FROM a)), qt AS (SELECT item_id AS id, {_TOKENS.format("coalesce(text, '')")} AS ws FROM benchmark),
-{_embedded('ed', 'dt')}, {_embedded('eq', 'qt')},
-b AS (SELECT query_id, a.id, round(coalesce(sum(ed.weight * eq.weight), 0), 6)::DOUBLE AS cs FROM a LEFT JOIN eq ON eq.id = query_id LEFT JOIN ed ON ed.id = a.id AND ed.bucket = eq.bucket GROUP BY query_id, a.id),
-d AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY cs DESC, id) AS rank FROM b),
+LIGHT = f"""WITH {_BM25}, a AS (SELECT query_id, doc_id AS id, rank FROM lex WHERE rank <= 50), {_NEAR}, d AS (SELECT query_id, id, rank FROM near WHERE rank <= 50),
 f AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 6)::DOUBLE AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM d) GROUP BY ALL)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 20"""
 
@@ -86,15 +80,15 @@ CONFLICTS = f"WITH {_COS} SELECT query_id, vec_id, score, row_number() OVER (PAR
 
 
 def passage_search(spark, sf_dir):
-    """Nearest passages by distance, then the newer (larger label), then the id."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = _dense(spark, sf_dir, 10).withColumn("distance", rounded(1 - F.col("score"), 1)).join(v, "vec_id")
-    w = Window.partitionBy("query_id").orderBy("distance", F.desc("label"), "vec_id")
-    return near.select("query_id", "vec_id", "distance", F.row_number().over(w).cast("long").alias("place"))
+    """The ten nearest passages by distance (to two digits), then the newer (larger label), then the id: the order holds before the cut."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = R.dense_topk(v, asked, 10, late="label", digits=2)
+    return near.select("query_id", "vec_id", rounded(1 - F.col("score"), 2).alias("distance"), F.col("rank").alias("place"))
 
 
-PASSAGES = f"""WITH {_COS}, d AS (SELECT query_id, vec_id, label, round(1 - score, 1)::DOUBLE AS distance FROM knn WHERE rank <= 10)
-SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, label DESC, vec_id) AS place FROM d"""
+PASSAGES = f"""WITH {_COS}, d AS (SELECT query_id, vec_id, label, round(1 - round(score, 2), 2)::DOUBLE AS distance FROM cs)
+SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, label DESC, vec_id) AS place FROM d QUALIFY place <= 10"""
 
 
 def topic_fallback(spark, sf_dir):

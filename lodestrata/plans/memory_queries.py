@@ -60,27 +60,33 @@ HAVING bool_or(event_type IN ('signup', 'error')) AND contains(lower('User Numbe
 
 
 def completed_contexts(spark, sf_dir):
-    """Users all of whose events up to a day are accounted for by a judged document of the same number, with how many are not."""
-    e = _events(spark, sf_dir).where("event_id < 2000").select("user_id", "event_id")
+    """Users all of whose events are accounted for by a judged document of the same number, with how many are."""
+    e = _events(spark, sf_dir).select("user_id", "event_id")
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("event_id"), F.lit(1).alias("done"))
     return e.join(done, "event_id", "left").groupBy("user_id").agg(F.count("*").alias("n"), F.count("done").alias("n_done"), (F.count("*") == F.count("done")).alias("complete"))
 
 
-COMPLETED = "SELECT user_id, count(*) AS n, count(l.doc_id) AS n_done, count(*) = count(l.doc_id) AS complete FROM events LEFT JOIN labels AS l ON l.doc_id = event_id WHERE event_id < 2000 GROUP BY user_id"
+COMPLETED = "SELECT user_id, count(*) AS n, count(l.doc_id) AS n_done, count(*) = count(l.doc_id) AS complete FROM events LEFT JOIN labels AS l ON l.doc_id = event_id GROUP BY user_id"
 
 
 def too_short_and_changed(spark, sf_dir):
-    """Turns of 20 characters at least whose characters differ enough from the turn before (0.2), and whether they are the same."""
+    """Turns of 20 characters at least against the turn before: the change of their characters over whole texts, and whether it is kept as an update."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null and length(text) >= 20")
-    ratio = rounded(C.change_ratio(F.substring("old", 1, 60), F.substring("text", 1, 60)))
-    return c.select("conv_id", "turn", ratio.alias("ratio"), (F.col("old") == F.col("text")).alias("same")).where("ratio < 0.7")
+    c = table(spark, sf_dir, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null").where(C.long_enough(F.col("text")))
+    ratio = C.change_ratio(F.col("old"), F.col("text"))
+    return c.select("conv_id", "turn", rounded(ratio).alias("ratio"), C.keep_update(F.col("text"), F.col("old")).alias("kept"))
 
 
-CHANGED = """
+_HAN = r"[\x{4E00}-\x{9FFF}]"
+CHANGED = f"""
 WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations),
-s AS (SELECT conv_id, turn, old = text AS same, list_distinct(string_split(substr(old, 1, 60), '')) AS a, list_distinct(string_split(substr(text, 1, 60), '')) AS b FROM c WHERE old IS NOT NULL AND length(text) >= 20)
-SELECT conv_id, turn, round(1 - len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6)::DOUBLE AS ratio, same FROM s WHERE ratio < 0.7"""
+s AS (SELECT conv_id, turn, list_distinct(string_split(old, '')) AS a, list_distinct(string_split(text, '')) AS b,
+  greatest(1, floor((length(old) - length(regexp_replace(old, '{_HAN}', '', 'g'))) * 1.5::DOUBLE
+    + len(list_filter(regexp_split_to_array(old, '\\s+'), lambda w: regexp_matches(w, '\\p{{L}}') AND NOT regexp_matches(w, '{_HAN}'))) * 1.33::DOUBLE
+    + length(regexp_replace(old, '{_HAN}', '', 'g')) * 0.5::DOUBLE)) AS n
+  FROM c WHERE old IS NOT NULL AND length(text) >= 20),
+r AS (SELECT conv_id, turn, n, 1 - len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS ratio FROM s)
+SELECT conv_id, turn, round(ratio, 6)::DOUBLE AS ratio, ratio > 0 AND ratio < CASE WHEN n < 200 THEN 0.7 ELSE 0.2 END AS kept FROM r"""
 
 
 def date_formats(spark, sf_dir):

@@ -108,11 +108,15 @@ RRF = f"""{_TWO}, f AS (SELECT query_id, id, round(sum(1 / (60 + rank)), 6)::DOU
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10"""
 
 
+def _hashed(spark, sf_dir, k):
+    """The k nearest of all documents by hash embedding."""
+    return R.hashed_topk(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k).select("query_id", F.col("doc_id").alias("id"), "score", "rank")
+
+
 def hybrid_minmax_fusion(spark, sf_dir):
-    """BM25 and the cosine of hash embeddings over BM25's candidates."""
-    lexical = written(_lexical(spark, sf_dir, 20).select("query_id", "doc_id", "score"), "candidates")
-    cosine = R.hashed_cosine(lexical.select("query_id", "doc_id"), table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
-    both = R.hybrid(lexical.withColumnRenamed("doc_id", "id"), cosine.withColumnRenamed("doc_id", "id"))
+    """The 20 best documents by BM25 and the 20 nearest of all by hash embedding, scaled and summed."""
+    lexical = written(_lexical(spark, sf_dir, 20).select("query_id", F.col("doc_id").alias("id"), "score"), "candidates")
+    both = R.hybrid(lexical, written(_hashed(spark, sf_dir, 20).select("query_id", "id", "score"), "dense"))
     return R.ranked(both, "query_id", "score", "id", 10).select("query_id", "id", "score", "rank")
 
 
@@ -125,10 +129,12 @@ def _embedded(name, rows):
 
 
 _MM = "CASE WHEN max(score) OVER p - min(score) OVER p <= 1e-6 THEN CASE WHEN max(score) OVER p > 0 THEN 1.0 ELSE 0.0 END ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p + 1e-6) END"
-HYBRID = f"""WITH {_BM25}, a AS (SELECT query_id, doc_id AS id, score FROM lex WHERE rank <= 20),
-dt AS (SELECT doc_id AS id, ws FROM w WHERE doc_id IN (SELECT id FROM a)), qt AS (SELECT item_id AS id, {_TOKENS.format("coalesce(text, '')")} AS ws FROM benchmark),
-{_embedded('ed', 'dt')}, {_embedded('eq', 'qt')},
-b AS (SELECT query_id, a.id, round(coalesce(sum(ed.weight * eq.weight), 0), 6)::DOUBLE AS score FROM a LEFT JOIN eq ON eq.id = query_id LEFT JOIN ed ON ed.id = a.id AND ed.bucket = eq.bucket GROUP BY query_id, a.id),
+_NEAR = f"""qt AS (SELECT item_id AS id, {_TOKENS.format("coalesce(text, '')")} AS ws FROM benchmark), dt AS (SELECT doc_id AS id, ws FROM w),
+{_embedded('ed', 'dt')}, {_embedded('eq', 'qt')}, owners AS (SELECT DISTINCT id FROM ed), askers AS (SELECT DISTINCT id AS query_id FROM eq),
+dots AS (SELECT eq.id AS query_id, ed.id, sum(ed.weight * eq.weight) AS dot FROM eq JOIN ed USING (bucket) GROUP BY ALL),
+near AS (SELECT query_id, owners.id, round(coalesce(dot, 0), 6)::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0), 6) DESC, owners.id) AS rank
+  FROM askers CROSS JOIN owners LEFT JOIN dots USING (query_id, id))"""
+HYBRID = f"""WITH {_BM25}, a AS (SELECT query_id, doc_id AS id, score FROM lex WHERE rank <= 20), {_NEAR}, b AS (SELECT query_id, id, score FROM near WHERE rank <= 20),
 x AS (SELECT query_id, id, {_MM} AS s FROM a WINDOW p AS (PARTITION BY query_id)), y AS (SELECT query_id, id, {_MM} AS s FROM b WINDOW p AS (PARTITION BY query_id)),
 f AS (SELECT query_id, id, round(coalesce(x.s, 0) * 0.5 + coalesce(y.s, 0) * 0.5, 6)::DOUBLE AS score FROM x FULL JOIN y USING (query_id, id))
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10"""

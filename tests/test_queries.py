@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lodestrata.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,7 +26,7 @@ def rows(names, found):
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_its_sql(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
     want = duck.execute(entry.oracle_sql()[name])
