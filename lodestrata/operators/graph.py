@@ -219,3 +219,66 @@ def tag_overlap(tags: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     shared = mine.join(tags.distinct().withColumnRenamed("node", "other"), "tag").where("node != other").groupBy("node", "other").agg(F.count("*").alias("shared"))
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "other"))
     return shared.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
+def best_first(
+    edges: DataFrame, concepts: DataFrame, starts: DataFrame, most: int | None = None, goals: DataFrame | None = None, max_rounds: int = 500
+) -> DataFrame:
+    """query_id, node, distance, place, expanded: the nodes that each query settles, nearest first, from its starts on, all queries in one job a round.
+
+    edges: src, dst, weight (undirected, above 0; of several between two nodes the strongest counts), a step's length is 1 / weight; concepts: node, concept; starts: query_id, node, similarity
+    (above 0), at the distance 1 / similarity. Nodes settle in the order of distance, then node; a settled node is expanded to its neighbours only if it has a
+    concept that no node settled before it has. A query ends after `most` nodes, or with the first settled one of its goals (query_id, node), or where nothing is left.
+
+    A round settles a bucket: of each query all open nodes less than one shortest step beyond its nearest open one, which no other open node can bring closer. So rounds
+    follow the longest path in shortest steps, not the number of nodes; each is written to the shared folder.
+    """
+    links = both_ways_weighted(edges)
+    shortest = links.agg(F.min("length")).first()[0] or 1.0
+    concepts = written(concepts.where("concept is not null").select("node", "concept").distinct(), "concepts")
+    open_nodes = starts.where("similarity > 0").groupBy("query_id", "node").agg(F.min(1 / F.col("similarity")).alias("distance"))
+    ended = [c for c in (most, goals) if c is not None]
+    settled, seen = None, None
+    for _ in range(max_rounds):
+        open_nodes = written(open_nodes, "open")
+        if open_nodes.isEmpty():
+            break
+        nearest = F.min("distance").over(Window.partitionBy("query_id"))
+        marked = open_nodes.withColumn("in_bucket", F.col("distance") < nearest + shortest)
+        bucket = marked.where("in_bucket").select("query_id", "node", "distance")
+        fresh = bucket.join(concepts, "node")
+        fresh = fresh if seen is None else fresh.join(seen, ["query_id", "concept"], "left_anti")
+        holders = written(fresh.groupBy("query_id", "concept").agg(F.min(F.struct("distance", "node")).alias("first")), "holders")
+        expand = holders.select("query_id", F.col("first.node").alias("node"), F.lit(True).alias("expanded")).distinct()
+        part = written(bucket.join(expand, ["query_id", "node"], "left").withColumn("expanded", F.coalesce("expanded", F.lit(False))), "settled")
+        settled = part if settled is None else settled.union(part)
+        seen = holders.select("query_id", "concept") if seen is None else seen.union(holders.select("query_id", "concept"))
+        reached = part.where("expanded").join(links, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
+        reached = reached.join(settled.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        ahead = marked.where("not in_bucket").select("query_id", "node", "distance").union(reached)
+        open_nodes = ahead.groupBy("query_id", "node").agg(F.min("distance").alias("distance"))
+        if ended:
+            done = settled.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= (most or 1 << 62)).select("query_id")
+            if goals is not None:
+                done = done.union(settled.join(goals.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id")).distinct()
+            open_nodes = open_nodes.join(done, "query_id", "left_anti")
+    else:
+        raise RuntimeError(f"nodes are still open after {max_rounds} rounds")
+    if settled is None:
+        return open_nodes.select("query_id", "node", "distance", F.lit(0).cast("long").alias("place"), F.lit(False).alias("expanded"))
+    order = Window.partitionBy("query_id").orderBy("distance", "node")
+    out = settled.withColumn("place", F.row_number().over(order).cast("long"))
+    if most is not None:
+        out = out.where(F.col("place") <= most)
+    if goals is not None:
+        hit = out.join(goals.select("query_id", "node").distinct().withColumn("hit", F.lit(True)), ["query_id", "node"], "left")
+        before = F.coalesce(F.max("hit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        out = hit.withColumn("over", before).where("not over")
+    return out.select("query_id", "node", "distance", "place", "expanded")
+
+
+def both_ways_weighted(edges: DataFrame) -> DataFrame:
+    """src, dst, length: undirected edges (src, dst, weight) in both directions, without loops; the length is 1 / weight of the strongest."""
+    w = edges.where((F.col("weight") > 0) & (F.col("src") != F.col("dst"))).select("src", "dst", "weight")
+    w = w.union(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return written(w.groupBy("src", "dst").agg((1 / F.max("weight")).alias("length")), "links")

@@ -296,7 +296,17 @@ def linked_note_expansion(spark, sf_dir):
 EXPANSION = f"""WITH {_FACTS}, p AS (SELECT DISTINCT src, dst FROM f), n AS (SELECT src AS root, dst AS note FROM p WHERE src IN ('u1', 'u2', 'u3') QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
 l AS (SELECT dst AS note, src AS linked FROM p QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 3) SELECT root, note, linked FROM n JOIN l USING (note)"""
 
+def best_first_traversal(spark, sf_dir):
+    """Forty customers for each of five queries, nearest first over links of four strengths; only those with a new pair of nation and balance class are expanded."""
+    web = _web(spark, sf_dir).withColumn("weight", 1 / (1 + (F.col("src") + F.col("dst")) % 4))
+    c = table(spark, sf_dir, "customer")
+    concepts = c.select(F.col("c_custkey").alias("node"), F.concat_ws("-", "c_nationkey", F.floor(F.col("c_acctbal") / 500)).alias("concept"))
+    starts = c.where("c_custkey % 40 = 1 and c_custkey < 200").select(F.floor(F.col("c_custkey") / 40).cast("long").alias("query_id"), F.col("c_custkey").alias("node"), F.lit(0.5).alias("similarity"))
+    return G.best_first(web, concepts, starts, 40)
+
+
 QUERIES = {
+    "best_first_traversal": (best_first_traversal, None),
     "connected_components": (connected_components, COMPONENTS), "component_sizes": (component_sizes, SIZES), "recursive_path": (recursive_path, PATH),
     "recursive_subgraph": (recursive_subgraph, SUBGRAPH), "shortest_distances": (shortest_distances, DISTANCES), "local_clustering": (local_clustering, CLUSTERING),
     "neighbours_in_out": (neighbours_in_out, NEIGHBOURS), "id_filtered_subgraph": (id_filtered_subgraph, INCIDENT), "nodeset_subgraph": (nodeset_subgraph, NODESET),
