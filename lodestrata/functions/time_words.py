@@ -15,11 +15,9 @@ WEEK_DAYS = 7
 
 
 def _place(names: tuple[str, ...], text: Column, letters: int = 3) -> Column:
-    """The place from 1 of the name that a text is, whole or by its first letters; null for others."""
-    out = F.lit(None).cast("int")
-    for n, name in enumerate(names, 1):
-        out = F.when(text.isin(name, name[:letters], name[:4], f"{name[:letters]}.", f"{name[:4]}."), n).otherwise(out)
-    return out
+    """The place from 1 of the name that a text is, whole or by its first letters (three, or four), with a full stop or without; null for others."""
+    forms = {form: n for n, name in enumerate(names, 1) for form in (name, *(f"{name[:k]}{dot}" for k in (letters, 4) if letters < 99 for dot in ("", ".")))}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in forms.items() for x in pair)), text)
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -60,8 +58,8 @@ def anchor_day(expression: Column, now: Column) -> Column:
 
     def past(month: Column, day: Column) -> Column:
         """The last such day up to today: of this year, or of one of the eight before, as the 29th of February is not in each."""
-        days = [_day(this_year - n, month, day) for n in range(9)]
-        return F.coalesce(*(F.when(d <= today, d) for d in days))
+        days = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda n: _day(this_year - n, month, day))
+        return F.array_max(F.filter(days, lambda d: d <= today))
 
     def dated(month: Column, day: Column, year: Column) -> Column:
         return F.when(year == "", past(month, day.try_cast("int"))).otherwise(_day(year.try_cast("int"), month, day.try_cast("int")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import time_words as W
-from lodestrata.session import table
+from lodestrata.session import table, written
 
 #: What is asked of each event in turn, and the same in SQL at the day d.
 ASKED = (
@@ -22,6 +22,7 @@ def time_expressions(spark, sf_dir):
     last = e.groupBy("user_id").agg(F.max("ts").alias("now"))
     asked = F.explode(F.array(*(F.lit(x) for x, _ in ASKED))).alias("expression")
     ranges = last.select("user_id", "now", asked).select("user_id", "expression", W.time_range(F.col("expression"), F.col("now")).alias("r")).select("user_id", "expression", "r.start", "r.end")
+    ranges = written(ranges, "ranges")
     met = ranges.join(e, (ranges.user_id == e.user_id) & e.ts.between(F.col("start"), F.col("end")), "left")
     found = met.groupBy(ranges.user_id, "expression", "start", "end").agg(F.count("event_id").alias("n"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
