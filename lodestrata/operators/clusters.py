@@ -55,6 +55,16 @@ def _sums(q: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return total, np.bincount(at, minlength=k)
 
 
+def _moved(q: np.ndarray, centres: np.ndarray, steps: int) -> np.ndarray:
+    for _ in range(steps):
+        total, n = _sums(q, _nearest(q, centres), len(centres))
+        moved = np.where(n[:, None] > 0, total // np.maximum(n, 1)[:, None], centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
 def _cut(q: np.ndarray, h: np.ndarray, cell: str, largest: int, fan: int, steps: int) -> Iterator[tuple[np.ndarray, str]]:
     """The places of the rows of each last cell, and its name."""
     waiting = [(np.arange(len(q)), cell)]
@@ -65,14 +75,7 @@ def _cut(q: np.ndarray, h: np.ndarray, cell: str, largest: int, fan: int, steps:
         if len(first) < 2:
             yield rows, name
             continue
-        own, centres = q[rows], q[first]
-        for _ in range(steps):
-            total, n = _sums(own, _nearest(own, centres), len(first))
-            moved = np.where(n[:, None] > 0, total // np.maximum(n, 1)[:, None], centres)
-            if np.array_equal(moved, centres):
-                break
-            centres = moved
-        at = _nearest(own, centres)
+        at = _nearest(q[rows], _moved(q[rows], q[first], steps))
         parts = np.unique(at)
         if len(parts) < 2:
             yield rows, name
@@ -274,6 +277,16 @@ def mixture_clusters(rows: DataFrame, k: int, steps: int = 5, rows_a_task: int =
     return written(_labelled(rows, model), "labelled")
 
 
+def _few_clusters(rows: DataFrame, k: int, steps: int = 5) -> DataFrame:
+    """mixture_clusters() of the nodes of a level, which are at most as many as the clusters below them."""
+    q, unit = _whole(rows)
+    found = rows.join(q, "vec_id").orderBy("vec_id").toPandas()
+    x, whole = np.array(found.x.tolist(), float), np.array(found.q.tolist(), float)
+    first = np.unique(found.h.to_numpy(), return_index=True)[1][:k]
+    model, _ = fit_mixture(lambda f: f(x), _moved(whole, whole[first], steps) * unit)
+    return _labelled(rows, model)
+
+
 def mixture_tree(vectors: DataFrame, most: int = 10, levels: int = 3) -> DataFrame:
     """level, id, parent, n (leaves below): a tree of mixtures over vectors (vec_id, embedding), from the leaves (level 0) up.
 
@@ -293,7 +306,7 @@ def mixture_tree(vectors: DataFrame, most: int = 10, levels: int = 3) -> DataFra
             found = mixture_clusters(rows, k)
             weight = F.lit(1).cast("long").alias("n")
         else:
-            found, weight = mixture_clusters(rows, k).join(leaves, "vec_id"), F.col("n")
+            found, weight = written(_few_clusters(rows, k).join(leaves, "vec_id"), "labelled"), F.col("n")
         name = F.col("vec_id").cast("string") if level == 1 else F.concat(F.lit(f"{level - 1}_"), F.col("vec_id").cast("string"))
         nodes = found.select(F.lit(level - 1).alias("level"), name.alias("id"), F.concat(F.lit(f"{level}_"), F.col("at").cast("string")).alias("parent"), weight)
         out = nodes if out is None else out.union(nodes)
