@@ -11,6 +11,7 @@ from lodestrata.functions import filters
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import memory as M
+from lodestrata.operators.trees import depth_threshold
 from lodestrata.plans.table_queries import _events
 from lodestrata.plans.text_queries import _LOWER, _TOKENS
 from lodestrata.session import rounded, table
@@ -204,13 +205,12 @@ SELECT vec_id, round(CASE WHEN na * no > 0 THEN ao / (na * no) END, 6)::DOUBLE A
 
 
 def depth_thresholds(spark, sf_dir):
-    """Thresholds of tree depths, routing by hash, and time decay as one table of numbers."""
-    n = spark.range(0, 40).select(F.col("id"), (F.col("id") % 8).alias("depth"))
-    route = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") % 7
-    return n.select("id", rounded(0.3 * F.exp(F.lit(0.5) * F.col("depth") / 8)).alias("threshold"), route.alias("route"))
+    """Of each turn the threshold of its depth in a tree, and the route of its conversation by hash."""
+    route = F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), 16, 10).cast("long") % 7
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rounded(depth_threshold(F.col("turn"), 0.3, 0.5, 8)).alias("threshold"), route.alias("route"))
 
 
-DEPTHS = "SELECT i AS id, round(0.3 * exp(0.5 * (i % 8) / 8), 6)::DOUBLE AS threshold, CAST('0x' || substr(md5(CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % 7 AS route FROM range(40) AS t(i)"
+DEPTHS = "SELECT conv_id, turn, round(0.3 * exp(0.5 * turn / 8), 6)::DOUBLE AS threshold, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % 7 AS route FROM conversations"
 
 
 def history_read(spark, sf_dir):
