@@ -108,3 +108,22 @@ def nearest_before(rows: DataFrame, group: str, order: list[str], key: str, valu
     near = F.array_sort(F.transform("prior", lambda x: F.struct(rounded(F.abs(x[value] - F.col(value))).alias("d"), x[key].alias("other"))))
     found = rows.select(group, key, value, prior.alias("prior")).select(key, F.posexplode(F.slice(near, 1, k)).alias("rank", "x"))
     return found.select(key, "x.other", (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+def keyset_slice(rows: DataFrame, order: list[str], limit: int, after: DataFrame | None = None, before: DataFrame | None = None, ascending: bool = True) -> DataFrame:
+    """At most `limit` rows in the order of the columns `order`, of which the last is unique, that come after and before cursors.
+
+    A cursor is a table of one row with these columns; rows equal to it are left out, and so are all where it has no row. With both cursors the first 2 * limit rows between them are read, and if they are
+    more than limit, the middle ones stay: those from place len / 2 - limit / 2 on. Later and earlier are meant by value, also where ascending is false.
+    """
+    here = F.struct(*order)
+    for cursor, later in ((after, True), (before, False)):
+        if cursor is not None:
+            held = F.broadcast(cursor.select(F.struct(*order).alias("__cursor")).limit(1))
+            rows = rows.join(held, here > F.col("__cursor") if later else here < F.col("__cursor"), "left_semi")
+    by = [F.asc(c) if ascending else F.desc(c) for c in order]
+    if after is None or before is None:
+        return rows.orderBy(*by).limit(limit)
+    page = rows.orderBy(*by).limit(2 * limit).withColumn("__n", F.row_number().over(Window.orderBy(*by)) - 1).withColumn("__all", F.count("*").over(Window.partitionBy(F.lit(1))))
+    start = F.when(F.col("__all") > limit, F.greatest(F.lit(0), F.floor(F.col("__all") / 2) - limit // 2)).otherwise(0)
+    return page.where((F.col("__n") >= start) & (F.col("__n") < start + limit)).drop("__n", "__all")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.functions import vector as V
 from lodestrata.session import rounded, small, written
 
 
@@ -74,13 +75,14 @@ def _best_of_group(k: int, skip_self: bool, digits: int):
             ids, queries = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
             late = rows.column("late").to_numpy()
             order = np.lexsort((ids, -late))
-            late = late[order]
+            late, since, upto = late[order], rows.column("upto").to_numpy()[order], asked.column("upto").to_numpy()
             x, ids, norms = x[order], ids[order], np.linalg.norm(x, axis=1)[order]
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
                 scores = np.round(part @ x.T / np.maximum(np.linalg.norm(part, axis=1)[:, None] * norms, 1e-12), digits)
                 if skip_self:
                     scores[queries[at : at + 256, None] == ids] = -np.inf
+                scores[~(upto[at : at + 256, None] >= since)] = -np.inf
                 # the sort is stable and rows are in the order of ties
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 found = np.take_along_axis(scores, top, axis=1)
@@ -92,17 +94,20 @@ def _best_of_group(k: int, skip_self: bool, digits: int):
     return best
 
 
-def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None = None, block: int = 1024, rows_a_task: int = 16_384, late: str | None = None, skip_self: bool = True, digits: int = 6) -> DataFrame:
+def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None = None, block: int = 1024, rows_a_task: int = 16_384, late: str | None = None, skip_self: bool = True, digits: int = 6, upto: str | None = None) -> DataFrame:
     """query_id, vec_id, score (cosine), rank: the k best other rows for each of a stated set of queries, in blocks of queries.
 
     vectors: vec_id, embedding; asked: query_id, query; both also the column `within`, where given: rows are then met by queries of the same value only.
     A block meets the rows in slices, and each slice keeps its k best before anything is shuffled. Null vectors take no part; vectors meet those of their own length.
     Ties go to the larger value of the number column `late`, where given (null last), then to the smaller id. skip_self: a query doesn't find the row of its own id.
-    Scores are compared and returned with `digits` digits.
+    Scores are compared and returned with `digits` digits. upto: a whole-number column of both, where given: a query finds only rows whose number is at most its own, and none with null.
     """
     extra = [within] if within else []
-    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("length"), (F.coalesce(F.col(late).cast("double"), F.lit(float("-inf"))) if late else F.lit(0.0)).alias("late"), *extra)
-    q = asked.where("query is not null").select(F.col("query_id").cast("long"), "query", F.size("query").alias("length"), *extra)
+    level = F.col(upto).cast("long") if upto else F.lit(0).cast("long")
+    if upto:
+        vectors, asked = vectors.where(level.isNotNull()), asked.where(level.isNotNull())
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.size("embedding").alias("length"), (F.coalesce(F.col(late).cast("double"), F.lit(float("-inf"))) if late else F.lit(0.0)).alias("late"), level.alias("upto"), *extra)
+    q = asked.where("query is not null").select(F.col("query_id").cast("long"), "query", F.size("query").alias("length"), level.alias("upto"), *extra)
     blocks, slices = max(1, -(-q.count() // block)), max(1, -(-rows.count() // rows_a_task))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -114,6 +119,94 @@ def dense_topk(vectors: DataFrame, asked: DataFrame, k: int, within: str | None
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).drop("late")
 
 
+def earlier_neighbours(vectors: DataFrame, asked: DataFrame, k: int = 20, keep: int = 10) -> DataFrame:
+    """query_id, vec_id, score, rank: for each of a stated set of queries (query_id, query, at) the `keep` first others of its k nearest rows (vec_id, embedding, at) that are no later than it.
+
+    A query's own row is one of the k where it is near enough, and is dropped after the cut. Rows and queries without a time take no part.
+    """
+    found = dense_topk(vectors, asked, k, skip_self=False, upto="at").where("query_id <> vec_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
+
+
+def weighted_rerank(candidates: DataFrame, asked: DataFrame, k: int, weights: dict[str, float], fallback: float = 0.5) -> DataFrame:
+    """query_id, id, score, rank: of each query's candidates (query_id, id, place, vector, level, relativity) the k best by cosine with the query (query_id, query) times the weight of the level (1 without one).
+
+    Candidates without a vector follow with -1, in the order of their places. Where none of a query's candidates has a vector, the first k have their relativity, or `fallback` if
+    that is null or 0; where the query has no vector, they have 0. A query that isn't asked has no rows. Ties go to the smaller place, then id.
+    """
+    level = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map().cast("map<string, double>")
+    weight = F.coalesce(F.try_element_at(level, F.coalesce("level", F.lit(""))), F.lit(1.0))
+    met = candidates.select("query_id", "id", "place", "vector", "level", "relativity").join(asked.select("query_id", "query"), "query_id")
+    any_vector = F.max(F.col("vector").isNotNull()).over(Window.partitionBy("query_id"))
+    no_query, none = F.col("query").isNull(), ~F.col("any_vector")
+    near = rounded(V.cosine(F.col("vector"), F.col("query")) * weight)
+    score = F.when(no_query, 0.0).when(none, F.coalesce(F.expr("nullif(relativity, 0)"), F.lit(fallback))).when(F.col("vector").isNull(), -1.0).otherwise(near)
+    scored = met.withColumn("any_vector", any_vector).withColumn("score", score)
+    by_score = ~no_query & ~none & F.col("vector").isNotNull()
+    scored = scored.withColumn("last", F.when(no_query | none | by_score, 0).otherwise(1)).withColumn("down", F.when(by_score, -F.col("score")).otherwise(0.0))
+    order = Window.partitionBy("query_id").orderBy("last", "down", "place", "id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id, doc_id of the documents (doc_id, text) that hold an item (item_id, item), looked up by its longest inner word before the texts are compared; one row for each such row of items.
+
+    Inner words are neither an item's first nor its last, so a document that holds the item has them whole. Items
+    without one (up to two words, or blank) are compared with every document, as a stated query set in blocks. Nulls hold nothing and are held by nothing.
+    """
+    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    ws = T.tokens(F.col("item"))
+    items = items.where("item is not null").select("item_id", "item", longest(F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))).alias("word"))
+    docs = docs.select("doc_id", "text")
+    looked_up = docs.select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).join(small(items.where("word is not null")), "word")
+    others = items.where("word is null").select("item_id", "item")
+    n = max(1, -(-others.count() // 256))
+    blocks = others.groupBy(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    met = docs.where("text is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(small(blocks), "block")
+    found = met.select("doc_id", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["item"]))).alias("i")).select("i.item_id", "doc_id")
+    return looked_up.where(F.contains("text", "item")).select("item_id", "doc_id").union(found)
+
+
+def anchors(text: Column, least: int = 8, most: int = 5) -> Column:
+    """Up to `most` stretches of a normalised text that stand for it: all of a short one, else stretches of a quarter of its words (`least` to 16) at its start, quarters and end.
+
+    Stretches under 24 characters and repeated ones are left out; where none is left, the text is its own. Texts without words have none.
+    """
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    n = F.size(words)
+    quarter = lambda k: F.floor(n * k / 4).cast("int")
+    width = F.least(F.lit(16), F.greatest(F.lit(least), quarter(1)))
+    half = F.floor(width / 2).cast("int")
+    starts = F.array(F.lit(0), *(F.greatest(F.lit(0), quarter(k) - half) for k in (1, 2, 3)), F.greatest(F.lit(0), n - width))
+    cut = F.slice(F.array_distinct(F.filter(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, width), " ")), lambda a: F.length(a) >= 24)), 1, most)
+    return F.when(n == 0, F.array().cast("array<string>")).when((n <= max(2 * least, 16)) | (F.size(cut) == 0), F.array(text)).otherwise(cut)
+
+
+def anchored_matches(items: DataFrame, docs: DataFrame, least: int = 8, most: int = 5) -> DataFrame:
+    """item_id, doc_id (each pair once) of the normalised documents (doc_id, text) that hold a whole normalised item (item_id, text) of up to 128 characters, or any of its anchors."""
+    whole = F.when((F.length("text") <= 128) & (F.length("text") > 0), F.array("text")).otherwise(F.array().cast("array<string>"))
+    parts = items.where("text is not null").select("item_id", F.explode(F.array_distinct(F.concat(whole, anchors(F.col("text"), least, most)))).alias("item"))
+    return contained(parts, docs).distinct()
+
+
+def in_intervals(asked: DataFrame, events: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank, source: of each stated query (query_id, since, until) the k best events (id, at, score) with since <= at <= until, an end that is null being open.
+
+    A query without both ends, or whose interval holds no event, has the k best of `fallback` (query_id, id, score) instead; source is `events` or `fallback`. Queries are met in blocks, each event once
+    a block; an event without a time is in no interval. Ties go to the smaller id.
+    """
+    bounded = asked.where("since is not null or until is not null")
+    n = max(1, -(-bounded.count() // 256))
+    blocks = bounded.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "since", "until")).alias("queries"))
+    met = events.where("at is not null").select("id", "at", "score", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(small(blocks), "block")
+    inside = lambda q: F.coalesce(q["since"] <= F.col("at"), F.lit(True)) & F.coalesce(F.col("at") <= q["until"], F.lit(True))
+    found = met.select("id", "score", F.explode(F.filter("queries", inside)).alias("q")).select("q.query_id", "id", "score")
+    best = written(ranked(found, "query_id", "score", "id", k).withColumn("source", F.lit("events")), "inside")
+    rest = fallback.select("query_id", "id", "score").join(asked.select("query_id"), "query_id", "left_semi").join(best.select("query_id").distinct(), "query_id", "left_anti")
+    return best.unionByName(ranked(rest, "query_id", "score", "id", k).withColumn("source", F.lit("fallback")))
+
+
 def hash_embedding(rows: DataFrame, key: str, words: Column, size: int = 256) -> DataFrame:
     """key, bucket, weight: the unit vector of a text's words (1 each) and pairs of words (0.5 each) in hashed buckets; texts without words have none."""
     w = F.col("__words")

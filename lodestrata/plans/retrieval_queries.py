@@ -181,23 +181,8 @@ FROM h LEFT JOIN n USING (query_id)"""
 
 
 def containment_join(spark, sf_dir):
-    """Documents that hold a whole benchmark text, looked up by its longest inner word before the texts are compared.
-
-    Inner words are neither an item's first nor its last, so a document that holds the item has them whole. Items
-    without one (up to two words, or blank) are compared with every document, as a stated query set in blocks.
-    """
-    longest = lambda ws: F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    ws = T.tokens(F.col("text"))
-    inner = F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), longest(inner).alias("word")).where("item is not null")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    looked_up = docs.select("doc_id", "text", F.explode(F.array_distinct(ws)).alias("word")).join(small(items.where("word is not null")), "word")
-    others = items.where("word is null").select("item_id", "item")
-    n = max(1, -(-others.count() // 256))
-    blocks = others.groupBy(F.pmod(F.xxhash64("item_id", "item"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    met = docs.where("text is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(small(blocks), "block")
-    found = met.select("doc_id", F.explode(F.filter("items", lambda x: F.contains(F.col("text"), x["item"]))).alias("i")).select("i.item_id", "doc_id")
-    return looked_up.where(F.contains("text", "item")).select("item_id", "doc_id").union(found)
+    """Documents that hold a whole benchmark text."""
+    return R.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")), table(spark, sf_dir, "documents"))
 
 
 CONTAINS = "SELECT item_id, doc_id FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)"
