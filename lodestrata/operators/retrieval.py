@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
+from lodestrata.functions.stems import keywords
 from lodestrata.session import rounded, small, written
 
 
@@ -25,9 +26,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     docs: doc_id, text; queries: query_id, text. A term that a query repeats counts as often. A negative idf (terms in more than half of
     the documents) is replaced by epsilon times the mean idf of all terms. Only postings of query terms are shuffled.
     """
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    words = T.tokens(F.col("text")).alias("words")
+    return bm25_of_words(docs.select("doc_id", words), queries.select("query_id", words), k1, b, epsilon)
+
+
+def bm25_of_words(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """bm25() of docs (doc_id, words) and queries (query_id, words)."""
+    asked = queries.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     vocabulary = small(asked.select("term").distinct())
-    worded = docs.select("doc_id", T.tokens(F.col("text")).alias("words")).withColumn("size", F.size("words").cast("long"))
+    worded = docs.select("doc_id", "words", F.size("words").cast("long").alias("size"))
     # a row without a term carries each document's size, so that one pass counts documents, words and terms
     seen = F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("size"))),
@@ -48,6 +55,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     return postings.join(asked.join(weights, "term"), "term").groupBy("query_id", "doc_id").agg(rounded(F.sum(weight)).alias("score"))
 
 
+def bm25_stemmed(docs: DataFrame, queries: DataFrame, stop: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
+    """bm25() over stems without stop words (keywords() of docs (doc_id, text) and of queries (query_id, text)); the documents' stems are written once."""
+    words = keywords(F.col("text"), stop).alias("words")
+    return bm25_of_words(written(docs.select("doc_id", words), "stems"), written(queries.select("query_id", words), "asked"))
+
+
+def tiered_pages(asked: DataFrame, sessions: DataFrame, pages: DataFrame, near: float, page_near: float, k: int) -> DataFrame:
+    """query_id, page, session, score (of the session), page_score, rank: for each query the k first pages of its key's sessions that pass both tiers, by the score of the session.
+
+    asked: query_id, key, query, words; sessions: key, session, vector, words; pages: key, session, page, vector, of which each session has its own. A session passes by its
+    cosine with the query plus the mean share of common words in both sets (0 where one is empty) of at least `near`, and a page of it by its cosine of at least `page_near`. Ties go to the larger page score, then
+    the smaller page. Rows without vectors pass nothing. Only pages of sessions that pass are joined.
+    """
+    words = lambda c: F.coalesce(F.array_distinct(F.col(c)), F.array().cast("array<string>"))
+    q = asked.where("query is not null").select("query_id", "key", "query", words("words").alias("asked"))
+    s = sessions.where("vector is not null").select("key", "session", "vector", words("words").alias("words"))
+    shared = F.size(F.array_intersect("asked", "words"))
+    overlap = F.when(shared > 0, (shared / F.size("asked") + shared / F.size("words")) * 0.5).otherwise(0.0)
+    passed = q.join(s, "key").withColumn("score", rounded(V.cosine(F.col("query"), F.col("vector")) + overlap)).where(F.col("score") >= near)
+    found = passed.select("query_id", "key", "query", "session", "score").join(pages.where("vector is not null").select("key", "session", "page", "vector"), ["key", "session"])
+    found = found.withColumn("page_score", rounded(V.cosine(F.col("query"), F.col("vector")))).where(F.col("page_score") >= page_near)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("page_score"), "page")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "page", "session", "score", "page_score", "rank")
+
+
 def jaccard(docs: DataFrame, queries: DataFrame, multiset: bool = False) -> DataFrame:
     """query_id, doc_id, score of the pairs that share a token, stop words left out; sets, or counts as multisets.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import cleanup as C
+from lodestrata.functions import text as T
 from lodestrata.operators import lists as L
 from lodestrata.operators import retrieval as R
 from lodestrata.session import table
@@ -108,7 +109,35 @@ m AS (SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey)
 n AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n, count(*) OVER () AS c FROM m)
 SELECT * FROM b UNION ALL SELECT 'between', o_orderkey, o_orderdate FROM n WHERE c <= 20 OR (n >= c // 2 - 10 AND n < c // 2 + 10)"""
 
+def bm25_stemmed_topk(spark, sf_dir):
+    """The ten best documents of each benchmark item by BM25 over stems."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.ranked(R.bm25_stemmed(table(spark, sf_dir, "documents"), asked), "query_id", "score", "doc_id", 10)
+
+
+def tiered_retrieval(spark, sf_dir):
+    """For each vector whose number 50 divides the ten first pages of its label's sessions, both tiers at 0.1.
+
+    A session is 25 numbers of a label; its summary is its first vector, with the words of the document of that number.
+    """
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("key"), F.floor(F.col("vec_id") / 25).cast("long").alias("session"), F.col("vec_id").alias("page"), F.col("embedding").alias("vector"))
+    first = v.groupBy("key", "session").agg(F.min_by(F.struct("page", "vector"), "page").alias("f")).select("key", "session", F.col("f.page").alias("vec_id"), "f.vector").join(d, "vec_id", "left")
+    asked = v.where(F.col("page") % 50 == 0).withColumnRenamed("page", "vec_id").join(d, "vec_id", "left").select(F.col("vec_id").alias("query_id"), "key", F.col("vector").alias("query"), "words")
+    return R.tiered_pages(asked, first, v, 0.1, 0.1, 10)
+
+
+_HELD = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+TIERED = f"""
+WITH v AS (SELECT CAST(label AS BIGINT) AS key, vec_id // 25 AS session, vec_id AS page, embedding AS x, coalesce({_HELD}, []) AS w FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key, session ORDER BY page) = 1),
+m AS (SELECT q.page AS query_id, q.x, s.key, s.session, {_cosine('q.x', 's.x').replace('round(', '(').replace(', 6)', ')')} AS c, len(list_intersect(q.w, s.w)) AS n, len(q.w) AS a, len(s.w) AS b FROM v AS q JOIN s ON s.key = q.key WHERE q.page % 50 = 0),
+t AS (SELECT *, round(c + CASE WHEN n > 0 THEN (n / a + n / b) * 0.5 ELSE 0 END, 6)::DOUBLE AS score FROM m),
+p AS (SELECT query_id, v.page, v.session, score, {_cosine('t.x', 'v.x')} AS page_score FROM t JOIN v ON v.key = t.key AND v.session = t.session WHERE score >= 0.1)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_score DESC, page) AS rank FROM p WHERE page_score >= 0.1 QUALIFY rank <= 10"""
+
 QUERIES = {
     "earlier_neighbours": (earlier_neighbours, EARLIER), "cosine_rerank_padded": (cosine_rerank_padded, PADDED), "anchored_containment": (anchored_containment, ANCHORED),
     "interval_search": (interval_search, INTERVALS), "keyset_slices": (keyset_slices, SLICES),
+    "bm25_stemmed_topk": (bm25_stemmed_topk, None), "tiered_retrieval": (tiered_retrieval, TIERED),
 }
