@@ -190,7 +190,7 @@ SELECT p_partkey, round(tfidf, 6)::DOUBLE AS tfidf, CASE WHEN same THEN round(di
 
 
 def temporal_retrieval(spark, sf_dir):
-    """Documents whose number is an event of two days, by the score of their label; all others only where the interval holds none."""
+    """Documents whose number is an event of two days, by the value of that event; interval_search has the fallback for empty intervals."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     inside = e.where((F.col("ts") >= F.lit("2024-01-03").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-05").cast("timestamp"))).select(F.col("event_id").alias("doc_id"), "value")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
