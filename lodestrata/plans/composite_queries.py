@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import cleanup as C
 from lodestrata.functions import text as T
+from lodestrata.functions import vector as V
 from lodestrata.operators import retrieval as R
 from lodestrata.operators import selection as S
 from lodestrata.plans.retrieval_queries import _BM25, _COS, _NEAR, _dense, _embedded, _hashed, _lexical, _questions
@@ -168,21 +169,22 @@ x AS (SELECT 'facts' AS section, user_id, event_type || ' ' || k AS what, min(s)
 SELECT user_id, what, since, until, section, row_number() OVER (PARTITION BY section, user_id ORDER BY since, what) AS place FROM x QUALIFY place <= 5"""
 
 def combined_text_similarity(spark, sf_dir):
-    """Parts against the part before in their brand: words, characters and character pairs together where the types are the same."""
-    p = table(spark, sf_dir, "part")
+    """Parts against the part before in their brand: words, characters and character pairs together where the cosine of both vectors, those of the parts' numbers, is over 0.1; 0 where one has no vector."""
+    p = table(spark, sf_dir, "part").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding"), "p_partkey", "left")
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    pairs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.lag(F.concat_ws(" ", "p_name", "p_type")).over(w).alias("b"), (F.col("p_type") == F.lag("p_type").over(w)).cast("double").alias("same")).where("b is not null")
+    pairs = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.lag(F.concat_ws(" ", "p_name", "p_type")).over(w).alias("b"), rounded(V.cosine(F.col("embedding"), F.lag("embedding").over(w))).alias("near")).where("b is not null")
     words = lambda c: F.array_distinct(T.word_tokens(F.col(c)))
     dice, bigram = C.dice(words("a"), words("b")), T.set_jaccard(C.ngrams(T.ascii_lower(F.col("a"))), C.ngrams(T.ascii_lower(F.col("b"))))
     tfidf = C.char_tfidf_cosine(F.col("a"), F.col("b"))
-    return pairs.select("p_partkey", rounded(tfidf).alias("tfidf"), S.combined_similarity(dice, tfidf, bigram, F.col("same")).alias("score"))
+    return pairs.select("p_partkey", rounded(tfidf).alias("tfidf"), S.combined_similarity(dice, tfidf, bigram, F.col("near"), 0.1).alias("score"))
 
 
 _WORDSET = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda w: w <> ''))"
 _CHARS = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
 _SQUARES = "(list_sum(list_transform(list_distinct({0}), lambda c: CASE WHEN list_contains({1}, c) THEN 1.0 ELSE 2.25 END * len(list_filter({0}, lambda z: z = c)) * len(list_filter({0}, lambda z: z = c)))))"
 COMBINED = f"""
-WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS a, lag(p_name || ' ' || p_type) OVER w AS b, p_type = lag(p_type) OVER w AS same FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type AS a, lag(p_name || ' ' || p_type) OVER w AS b, coalesce(round(list_dot_product(x, lag(x) OVER w) / greatest(sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(lag(x) OVER w, lag(x) OVER w)), 1e-12::DOUBLE), 6) > 0.1, false) AS same
+  FROM (SELECT part.*, CAST(embedding AS DOUBLE[]) AS x FROM part LEFT JOIN embeddings ON vec_id = p_partkey) WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
 g AS (SELECT p_partkey, same, {_WORDSET.format('a')} AS u, {_WORDSET.format('b')} AS v, {_G2.format('lower(a)')} AS m, {_G2.format('lower(b)')} AS n, {_CHARS.format('a')} AS x, {_CHARS.format('b')} AS y FROM p WHERE b IS NOT NULL),
 s AS (SELECT p_partkey, same, 2 * len(list_intersect(u, v)) / (len(u) + len(v)) AS dice, len(list_intersect(m, n)) / (len(m) + len(n) - len(list_intersect(m, n))) AS bigram,
   coalesce(list_sum(list_transform(list_distinct(list_intersect(x, y)), lambda c: len(list_filter(x, lambda z: z = c)) * len(list_filter(y, lambda z: z = c)))), 0) / sqrt({_SQUARES.format('x', 'y')} * {_SQUARES.format('y', 'x')}) AS tfidf FROM g)
