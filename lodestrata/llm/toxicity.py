@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input joins a vector of the word and the scaled sum of the vectors of its character 3- and
-4-grams, word bounds included. The network reads windows of words that overlap; attention
+4-grams, word bounds included. The network reads the windows that begin at every word; attention
 pools the states of a window into one score, and a text's score is that of its highest window, put
 on a probability scale. In training, a toxic text stands for its highest window and any other text for its highest
 window and some others, so the words that make texts toxic are found without marks inside texts.
@@ -21,9 +21,11 @@ from lodestrata.llm.quality_gbt import held_out, labels_of
 from lodestrata.llm.words import Words, batches_of_text, mixed, words_of
 
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-DIM, HIDDEN, WINDOW = 8, 8, 32
-#: Texts are scored in windows that overlap by half, so any passage of up to 17 words lies whole in one; the fit takes fewer.
-STRIDE, FIT_STRIDE = 16, 24
+DIM, HIDDEN, WINDOW = 8, 8, 16
+#: Texts are scored in the windows at every word; the fit chooses among fewer.
+FIT_STRIDE = 12
+#: Windows that are computed together.
+BLOCK = 2048
 
 
 @dataclass
@@ -63,7 +65,7 @@ def vocabulary(w: Words) -> Vocabulary:
     return Vocabulary(of.reshape(-1), (found % np.uint64(WORD_ROWS)).astype(np.int32), both, begin)
 
 
-def windows(w: Words, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def windows(w: Words, stride: int = FIT_STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(first word, text) of each window: one every `stride` words, up to the one that reaches the text's end; none for no words."""
     n = np.diff(w.text)
     count = np.where(n == 0, 0, np.maximum(1, -(-(n - WINDOW) // stride) + 1))
@@ -174,15 +176,62 @@ class Network:
             out[part] = self.forward(window_words(w, v, first[part], text[part]), x)
         return out
 
+    def score_every(self, of: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Scores before the sigmoid of the windows at every word of a sequence of distinct words, WINDOW or more.
+
+        Windows at neighbouring words read the same projected inputs, shifted by one; of each state only its
+        part in the attention and in the output is kept.
+        """
+        p, h2, h3 = self.p, 2 * HIDDEN, 3 * HIDDEN
+        out = np.empty(len(of) - WINDOW + 1, np.float32)
+        # both gates are negated, so that they are 1 / (1 + exp(g))
+        sign = np.repeat(np.array([-1, -1, 1], np.float32), HIDDEN)
+        projected = [(x @ p["x"][d] + p["b"][d]) * sign for d in (0, 1)]
+        halves = [np.stack([p[k][d * HIDDEN : (d + 1) * HIDDEN] for k in ("attention", "out")]) for d in (0, 1)]
+        steps = [np.concatenate([(p["u"][d] * sign).T, halves[d]]) for d in (0, 1)]
+        for at in range(0, len(out), BLOCK):
+            n = min(BLOCK, len(out) - at)
+            parts = np.zeros((WINDOW, 2, n), np.float32)  # of each place: attention, output
+            zr, new, hu = np.empty((h2, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((h3 + 2, n), np.float32)
+            for d in (0, 1):
+                g = np.ascontiguousarray(projected[d].take(of[at : at + n + WINDOW - 1], axis=0).T)
+                h, hu[:] = np.zeros((HIDDEN, n), np.float32), 0
+                for t in range(WINDOW):
+                    k = t if d == 0 else WINDOW - 1 - t
+                    np.add(g[:h2, k : k + n], hu[:h2], out=zr)
+                    np.exp(np.minimum(zr, 80, out=zr), out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[HIDDEN:], hu[h2:h3], out=new)
+                    new += g[h2:, k : k + n]
+                    np.tanh(new, out=new)
+                    h -= new
+                    h *= zr[:HIDDEN]
+                    h += new
+                    np.matmul(steps[d], h, out=hu)
+                    parts[k] += hu[h3:]
+            weight = np.exp(parts[:, 0] - parts[:, 0].max(axis=0))
+            out[at : at + n] = (weight * parts[:, 1]).sum(axis=0) / weight.sum(axis=0)
+        return out + p["bias"]
+
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """The score of each text's highest window before the sigmoid; without words, of a window without words."""
+        """The score of each text's highest window before the sigmoid; of a text of fewer words than a window, of its one window."""
         w = words_of(texts)
-        out = np.full(len(texts), self.p["bias"][0], np.float32)
-        if len(w.hash):
-            v = vocabulary(w)
-            first, text = windows(w)
-            some = np.flatnonzero(np.diff(w.text) > 0)
-            out[some] = np.maximum.reduceat(self.score_windows(w, v, first, text), np.searchsorted(text, some))
+        out, n = np.full(len(texts), self.p["bias"][0], np.float32), np.diff(w.text)
+        if not len(w.hash):
+            return out
+        v = vocabulary(w)
+        x = self.inputs(v)
+        short, long = np.flatnonzero((n > 0) & (n < WINDOW)), np.flatnonzero(n >= WINDOW)
+        for at in range(0, len(short), BLOCK):
+            part = short[at : at + BLOCK]
+            out[part] = self.forward(window_words(w, v, w.text[part], part), x)
+        if len(long):
+            # long texts one after the other; windows over the end of one are left out of its highest
+            every = self.score_every(v.of[_ranges(w.text[long], n[long])], x)
+            begin = np.cumsum(n[long]) - n[long]
+            bounds = np.stack([begin, begin + n[long] - WINDOW + 1], axis=1).reshape(-1)
+            out[long] = np.maximum.reduceat(np.append(every, np.float32(-np.inf)), bounds)[::2]
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -258,10 +307,8 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, least_steps: int = 100
                 _adam(net.p[name], means[name], squares[name], touched, summed, rate, step)
             for name, g in grad.items():
                 _adam(net.p[name], means[name], squares[name], slice(None), g.astype(np.float32), rate, step)
-    high = net.score_windows(w, v, first, text)
-    best = np.full(len(texts), net.p["bias"][0], float)
-    best[texts_with] = np.maximum.reduceat(high, starts)
-    net.slope, net.level = _scaled(best, y)
+    del w, v, x, first, text, of_word, one, words, owners, peak
+    net.slope, net.level = _scaled(np.concatenate([net.highest(texts[a : a + 256]) for a in range(0, len(texts), 256)]).astype(float), y)
     return net
 
 

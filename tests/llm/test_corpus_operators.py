@@ -158,6 +158,41 @@ def test_windows_cover_every_word():
     assert covered == set(range(len(w.hash)))
 
 
+def _plain_window_score(net, x):
+    """The score of one window of word inputs, by the formulas of the network, one word at a time."""
+    n, states = toxicity.HIDDEN, []
+    for d, words in enumerate((x, x[::-1])):
+        h, seen = np.zeros(n), []
+        for row in words:
+            g, u = row @ net.p["x"][d] + net.p["b"][d][0], h @ net.p["u"][d]
+            z, r = 1 / (1 + np.exp(-(g + u)[:n])), 1 / (1 + np.exp(-(g + u)[n : 2 * n]))
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            seen.append(h)
+        states.append(seen if d == 0 else seen[::-1])
+    both = np.concatenate(states, axis=1)
+    weight = np.exp(both @ net.p["attention"])
+    return (weight / weight.sum()) @ both @ net.p["out"] + net.p["bias"][0]
+
+
+def test_toxicity_scores_every_window(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    net, r = toxicity.Network(), np.random.default_rng(3)
+    net.p = {k: v * 4 for k, v in net.p.items()}
+    net.p["bias"][0] = -0.25
+    known, size = [f"w{i}" for i in range(300)], toxicity.WINDOW
+    texts = [" ".join(r.choice(known, n)) for n in (1, size - 1, size, size + 1, 3 * size, 170, 0, 5, 61)] + [None, " ", "w1 " * 90]
+    got = net.highest(texts)
+    for text, score in zip(texts, got, strict=True):
+        w = toxicity.words_of([text])
+        if not len(w.hash):
+            assert score == net.p["bias"][0]
+            continue
+        v = toxicity.vocabulary(w)
+        x = net.inputs(v)[v.of].astype(float)
+        plain = [_plain_window_score(net, x[a : a + size]) for a in range(max(1, len(x) - size + 1))]
+        assert abs(max(plain) - score) < 1e-3 and abs(net.highest([text])[0] - score) < 1e-5
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
