@@ -21,11 +21,11 @@ from lodestrata.llm.quality_gbt import held_out, labels_of
 from lodestrata.llm.words import Words, batches_of_text, mixed, words_of
 
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
-DIM, HIDDEN, WINDOW = 8, 8, 16
+DIM, HIDDEN, WINDOW = 8, 8, 10
 #: Texts are scored in the windows at every word; the fit chooses among fewer.
-FIT_STRIDE = 12
+FIT_STRIDE = 8
 #: Windows that are computed together.
-BLOCK = 2048
+BLOCK = 8192
 
 
 @dataclass
