@@ -87,3 +87,61 @@ def sliding(turns: DataFrame, group: str, order: str, size: int, overlap: int) -
     return each.groupBy(group, F.col("window").cast("long").alias("window")).agg(
         F.min(order).alias("first_turn"), F.max(order).alias("last_turn"), F.count("*").alias("n_turns")
     )
+
+
+#: The characters that end a sentence.
+SENTENCE_ENDS = ".;!?…。！？"
+
+
+def typed_pieces(text: Column) -> Column:
+    """Array of (piece, kind) that together give the text again; none for null and empty texts.
+
+    A piece ends with a space, or with the end of a sentence and the spaces after it: kind "sentence_end", or "paragraph_end" where a line end follows; all others are "word".
+    """
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^ {SENTENCE_ENDS}]*(?:[{SENTENCE_ENDS}] *| )|[^ {SENTENCE_ENDS}]+"), F.lit(0))
+    kind = lambda p, after: F.when(~p.rlike(f"[{SENTENCE_ENDS}]"), "word").when(after.rlike(r"^[\n\r]"), "paragraph_end").otherwise("sentence_end")
+    # the piece after each one comes from the array without its first; after the last there is none. An array of one: pieces are then found once
+    typed = lambda ps: F.zip_with(ps, F.slice(ps, 2, F.greatest(F.size(ps), F.lit(1))), lambda p, after: F.struct(p.alias("piece"), kind(p, F.coalesce(after, F.lit(""))).alias("kind")))
+    return F.filter(F.get(F.transform(F.array(pieces), typed), F.lit(0)), lambda x: x["piece"].isNotNull())
+
+
+def _sentences(pieces: pd.Series, size: str, most: int | None) -> pd.Series:
+    """The sentences of each row of typed pieces."""
+    measured = len if size == "chars" else lambda p: int(p.strip(" \t\n\x0b\x0c\r") != "")
+
+    def of_row(row):
+        out, now, paragraph, used, state = [], [], 0, 0, None
+
+        def end(kind):
+            out.append({"sentence": len(out), "paragraph": paragraph, "kind": kind, "n_pieces": len(now), "text": "".join(now)})
+
+        for piece, kind in ((x["piece"], x["kind"]) for x in row):
+            n = measured(piece)
+            state = kind if kind != "word" or any(map(str.isalpha, piece)) else state
+            if now and most is not None and used + n > most:
+                end(state)
+                now, used = [piece], n
+                continue
+            now.append(piece)
+            used += n
+            if kind != "word":
+                paragraph += kind == "paragraph_end"
+                end(state)
+                now, used = [], 0
+        if now:
+            end("sentence_cut" if state == "word" else state)
+        return out
+
+    return pd.Series([[] if row is None else of_row(row) for row in pieces])
+
+
+def cut_sentences(rows: DataFrame, key: str, text: Column, size: str = "chars", most: int | None = None) -> DataFrame:
+    """key, sentence, paragraph, kind, n_pieces, text: the typed pieces of each text joined into sentences, which give the text again.
+
+    A sentence ends with a piece that ends one, or before the piece with which it would hold over `most` (size: "chars" or "words"); a single piece may be larger, and the piece that
+    didn't fit begins the next sentence, even one that ends a sentence. A sentence's kind is that of the last piece met that ends something or has a letter, the piece that didn't fit included; where a text
+    stops within a sentence it is "sentence_cut", and null where nothing told. paragraph counts the ends of paragraphs that ended sentences so far, a sentence's own included. Null and empty texts
+    give no rows. Rows are not shuffled: a text is read by one task, as in a table it is one row.
+    """
+    fold = F.pandas_udf(lambda p: _sentences(p, size, most), "array<struct<sentence: bigint, paragraph: bigint, kind: string, n_pieces: bigint, text: string>>")
+    return rows.select(F.col(key), fold(typed_pieces(text)).alias("found")).select(key, F.inline("found"))

@@ -350,3 +350,52 @@ def budgeted(ranked_texts: DataFrame, group: str, budget: int) -> DataFrame:
     before = Window.partitionBy(group).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(budget) - F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
     return ranked_texts.withColumn("left", left).where("left > 0").withColumn("taken", F.least("left", "n_tokens").cast("long")).drop("left")
+
+
+def _best_topics(k: int, weight: float):
+    def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = {"query_id": [], "id": [], "score": []}
+        if len(rows) and len(asked):
+            ids, unit = rows.column("id").to_numpy(), lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+            matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
+            order = np.argsort(ids, kind="stable")
+            words = rows.column("words").combine_chunks()
+            sizes, owner = words.value_lengths().to_numpy(), words.value_parent_indices().to_numpy()
+            coded = words.flatten().dictionary_encode()
+            numbers, code = {w: n for n, w in enumerate(coded.dictionary.to_pylist())}, coded.indices.to_numpy()
+            x, queries = unit(matrix(rows, "vector")), unit(matrix(asked, "query"))
+            for n, (query, mine) in enumerate(zip(asked.column("query_id").to_pylist(), asked.column("words").to_pylist(), strict=True)):
+                wanted = np.zeros(len(numbers) + 1, bool)
+                wanted[[numbers.get(w, len(numbers)) for w in mine]] = True
+                wanted[len(numbers)] = False
+                common = np.bincount(owner[wanted[code]], minlength=len(rows))
+                score = np.round(weight * (x @ queries[n]) + (1 - weight) * common / np.maximum(np.maximum(sizes, len(mine)), 1), 6)
+                score[ids == query] = -np.inf
+                top = order[np.argsort(-score[order], kind="stable")[:k]]
+                top = top[score[top] > -np.inf]
+                out["query_id"] += [query] * len(top)
+                out["id"] += ids[top].tolist()
+                out["score"] += score[top].tolist()
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    return best
+
+
+def topic_matches(rows: DataFrame, asked: DataFrame, k: int, weight: float = 0.8, block: int = 512, rows_a_task: int = 16_384) -> DataFrame:
+    """query_id, id, score, rank: the k best rows for each of a stated set of queries by weight x cosine of vectors + (1 - weight) x common words over the larger set of words.
+
+    rows: id, vector, words; asked: query_id, vector, words. Every row is a candidate of every query but the row of its own id. Queries meet rows in blocks and slices, and each
+    slice keeps its k best. Scores have six digits; ties go to the smaller id. Null ids and vectors, and vectors that hold nulls, take no part; vectors meet those of their own length; null words are none.
+    """
+    words = F.coalesce(F.array_compact(F.array_distinct("words")), F.array().cast("array<string>")).alias("words")
+    whole = "vector is not null AND NOT exists(vector, x -> x IS NULL)"
+    r = rows.where(whole).where("id is not null").select(F.col("id").cast("long"), "vector", words, F.size("vector").alias("length"))
+    q = asked.where(whole).where("query_id is not null").select(F.col("query_id").cast("long"), F.col("vector").alias("query"), words, F.size("vector").alias("length"))
+    blocks, slices = max(1, -(-q.count() // block)), max(1, -(-r.count() // rows_a_task))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    r = r.withColumn("slice", own("id", slices)).withColumn("block", every(blocks))
+    q = q.withColumn("block", own("query_id", blocks)).withColumn("slice", every(slices))
+    keys = ["length", "block", "slice"]
+    found = r.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_best_topics(k, weight), "query_id long, id long, score double")
+    return ranked(found, "query_id", "score", "id", k)

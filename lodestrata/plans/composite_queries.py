@@ -92,24 +92,6 @@ PASSAGES = f"""WITH {_COS}, d AS (SELECT query_id, vec_id, label, round(1 - roun
 SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, label DESC, vec_id) AS place FROM d QUALIFY place <= 10"""
 
 
-def topic_fallback(spark, sf_dir):
-    """Parts of a type against their neighbours by key: 0.8 bigram similarity of names plus 0.2 keyword overlap, the best of four."""
-    p = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_name")
-    w = Window.partitionBy("p_type").orderBy("p_partkey").rowsBetween(-4, -1)
-    prior = p.withColumn("prior", F.collect_list(F.struct("p_partkey", "p_name")).over(w)).select("p_partkey", "p_name", F.explode("prior").alias("o"))
-    score = T.set_jaccard(C.ngrams(F.col("p_name")), C.ngrams(F.col("o.p_name"))) * 0.8 + T.keyword_overlap(T.word_tokens(F.col("p_name"), 3), T.word_tokens(F.col("o.p_name"), 3)) * 0.2
-    scored = prior.select("p_partkey", F.col("o.p_partkey").alias("other"), rounded(score).alias("score"))
-    return R.ranked(scored, "p_partkey", "score", "other", 1).select("p_partkey", "other", "score")
-
-
-_G2 = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
-_W3 = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda w: length(w) >= 3))"
-TOPIC = f"""
-WITH p AS (SELECT p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part),
-j AS (SELECT a.p_partkey, b.p_partkey AS other, {_G2.format('a.p_name')} AS x, {_G2.format('b.p_name')} AS y, {_W3.format('a.p_name')} AS u, {_W3.format('b.p_name')} AS v FROM p AS a JOIN p AS b ON a.p_type = b.p_type AND b.n < a.n AND b.n >= a.n - 4)
-SELECT p_partkey, other, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) * 0.8 + len(list_intersect(u, v)) / greatest(len(u), len(v), 1) * 0.2, 6)::DOUBLE AS score FROM j QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) = 1"""
-
-
 def _candidate_lists(spark, sf_dir, k=30):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return _dense(spark, sf_dir, k).select("query_id", F.col("vec_id").alias("id"), "score").join(v, "id")
@@ -179,6 +161,7 @@ def combined_text_similarity(spark, sf_dir):
     return pairs.select("p_partkey", rounded(tfidf).alias("tfidf"), S.combined_similarity(dice, tfidf, bigram, F.col("near"), 0.1).alias("score"))
 
 
+_G2 = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
 _WORDSET = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9_]+'), lambda w: w <> ''))"
 _CHARS = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))"
 _SQUARES = "(list_sum(list_transform(list_distinct({0}), lambda c: CASE WHEN list_contains({1}, c) THEN 1.0 ELSE 2.25 END * len(list_filter({0}, lambda z: z = c)) * len(list_filter({0}, lambda z: z = c)))))"
@@ -221,6 +204,6 @@ QUERIES = {
     "combined_text_similarity": (combined_text_similarity, COMBINED), "temporal_retrieval": (temporal_retrieval, TEMPORAL), "short_to_mid_tier": (short_to_mid_tier, TIERS),
     "bm25_tfidf_rerank": (bm25_tfidf_rerank, RERANK), "lightweight_hybrid": (lightweight_hybrid, LIGHT), "relation_bm25": (relation_bm25, RELATIONS),
     "synonymy_edges": (synonymy_edges, SYNONYMS), "conflict_candidates": (conflict_candidates, CONFLICTS), "passage_search": (passage_search, PASSAGES),
-    "topic_fallback": (topic_fallback, TOPIC), "mmr_select": (mmr_select, None), "greedy_similarity_dedup": (greedy_similarity_dedup, GREEDY),
+    "mmr_select": (mmr_select, None), "greedy_similarity_dedup": (greedy_similarity_dedup, GREEDY),
     "incremental_clusters": (incremental_clusters, None), "edge_materialisation": (edge_materialisation, EDGES), "facts_by_section": (facts_by_section, SECTIONS),
 }
