@@ -54,14 +54,21 @@ def vocabulary(w: Words) -> Vocabulary:
     at = np.cumsum(size + 2) - (size + 2)
     framed[at] = framed[at + size + 1] = 32
     framed = np.concatenate([framed, np.zeros(3, np.uint64)])
-    b = [framed[k : len(framed) - 3 + k] << np.uint64(8 * k) for k in range(4)]
-    three = b[0] | b[1] | b[2]
-    grams = (mixed(np.concatenate([three, three | b[3] | np.uint64(1 << 40)])) % np.uint64(GRAM_ROWS)).astype(np.int32)
+    # in place and one size after the other, as the driver's memory is narrow in the fit
+    three = framed[:-3].copy()
+    for k in (1, 2):
+        three |= framed[k : len(framed) - 3 + k] << np.uint64(8 * k)
+    row = lambda codes: (mixed(codes) % np.uint64(GRAM_ROWS)).astype(np.int32)
+    of_three = row(three)
+    three |= framed[3:] << np.uint64(24)
+    three |= np.uint64(1 << 40)
+    of_four = row(three)
+    del framed, three
     n3, n4 = size, np.maximum(0, size - 1)
     both = np.empty((n3 + n4).sum(), np.int32)
     begin = np.cumsum(n3 + n4) - (n3 + n4)
-    both[_ranges(begin, n3)] = grams[_ranges(at, n3)]
-    both[_ranges(begin + n3, n4)] = grams[_ranges(len(three) + at, n4)]
+    both[_ranges(begin, n3)] = of_three[_ranges(at, n3)]
+    both[_ranges(begin + n3, n4)] = of_four[_ranges(at, n4)]
     return Vocabulary(of.reshape(-1), (found % np.uint64(WORD_ROWS)).astype(np.int32), both, begin)
 
 
