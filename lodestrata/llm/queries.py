@@ -45,12 +45,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = (
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(secret_scan.KINDS[:3])
-    )
+
+    def count(kind: int):
+        # the lambda has one parameter: filter gives the position in the array to a second one
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secret_scan.KINDS[kind]}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
+        "doc_id", *(count(k) for k in range(3)), F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("spans")).alias("spans"),
     )
 

@@ -479,3 +479,26 @@ def test_digests_of_queries(spark, sf_dir):
         want = ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(found))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _, _ in found) for j in range(3))
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("random")) == want
+
+
+def test_counts_of_secrets_by_kind(spark, tmp_path):
+    """Several spans of each kind in a text, at positions that differ from their kinds; sf0.001 has no secret at all."""
+    import hashlib
+
+    from lodestrata.llm import queries
+
+    assign, access, hexes = "Token: abc-def", "AKIA" + "Z9" * 8, "0f" * 12
+    texts = {
+        1: ([], "none here, token=short"), 2: (["assign"], assign), 3: (["access"], access), 4: (["hex"], hexes),
+        5: (["hex", "hex", "access", "access", "assign", "assign", "assign"], " ".join([hexes, hexes, access, access, assign, assign, assign])),
+        6: (["assign", "hex"], f"é token='{hexes}'"), 7: ([], None), 8: ([], ""),
+    }
+    rows = [(i, t) for i, (_, t) in texts.items()] + [(5, texts[5][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_secrets(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 5, 6, 7, 8]
+    for r in got:
+        kinds = texts[r.doc_id][0]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        base = [s for s in r.spans.split(",") if s and not s.startswith("random")]
+        assert [s.split(":")[0] for s in base] == kinds and r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
