@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _numbers(sizes: pd.Series, budget: int, between: int, empty_first: bool) -> pd.Series:
@@ -105,34 +110,43 @@ def typed_pieces(text: Column) -> Column:
     return F.filter(F.get(F.transform(F.array(pieces), typed), F.lit(0)), lambda x: x["piece"].isNotNull())
 
 
-def _sentences(pieces: pd.Series, size: str, most: int | None) -> pd.Series:
-    """The sentences of each row of typed pieces."""
-    measured = len if size == "chars" else lambda p: int(p.strip(" \t\n\x0b\x0c\r") != "")
+_PIECE = re.compile(f"[^ {SENTENCE_ENDS}]*(?:[{SENTENCE_ENDS}] *| )|[^ {SENTENCE_ENDS}]+")
+_STRETCH = re.compile(f"([^{SENTENCE_ENDS}]*)([{SENTENCE_ENDS}] *)?")
+_LETTER = re.compile(r"[^\W\d_]")
+
 
-    def of_row(row):
-        out, now, paragraph, used, state = [], [], 0, 0, None
+def _has_letter(text: str) -> bool:
+    return _LETTER.search(text) is not None and any(map(str.isalpha, text))
 
-        def end(kind):
-            out.append({"sentence": len(out), "paragraph": paragraph, "kind": kind, "n_pieces": len(now), "text": "".join(now)})
 
-        for piece, kind in ((x["piece"], x["kind"]) for x in row):
-            n = measured(piece)
-            state = kind if kind != "word" or any(map(str.isalpha, piece)) else state
-            if now and most is not None and used + n > most:
-                end(state)
-                now, used = [piece], n
+def _sentences(text: str, size: str, most: int | None) -> Iterator[tuple[int, str | None, int, str]]:
+    """paragraph, kind, n_pieces, text of each sentence; a stretch up to the next end that fits as a whole is not taken apart."""
+    measured = len if size == "chars" else lambda p: int(p.strip(" \t\n\x0b\x0c\r") != "")
+    now, n_now, paragraph, used, state = [], 0, 0, 0, None
+    for m in _STRETCH.finditer(text):
+        stretch, (body, end) = m.group(), m.groups()
+        if not stretch:
+            continue
+        closing = end and ("paragraph_end" if text[m.end() : m.end() + 1] in ("\n", "\r") else "sentence_end")
+        if most is None or (size == "chars" and used + len(stretch) <= most):
+            pieces = [(stretch, closing, body.count(" ") + (1 if end or body[-1] != " " else 0), 0 if most is None else len(stretch))]
+        else:
+            found = _PIECE.findall(stretch)
+            pieces = [(p, None, 1, measured(p)) for p in (found[:-1] if end else found)] + ([(found[-1], closing, 1, measured(found[-1]))] if end else [])
+        for piece, kind, n, filled in pieces:
+            state = kind or ("word" if state != "word" and _has_letter(piece) else state)
+            if now and most is not None and used + filled > most:
+                yield paragraph, state, n_now, "".join(now)
+                now, n_now, used = [piece], n, filled
                 continue
             now.append(piece)
-            used += n
-            if kind != "word":
+            n_now, used = n_now + n, used + filled
+            if kind:
                 paragraph += kind == "paragraph_end"
-                end(state)
-                now, used = [], 0
-        if now:
-            end("sentence_cut" if state == "word" else state)
-        return out
-
-    return pd.Series([[] if row is None else of_row(row) for row in pieces])
+                yield paragraph, state, n_now, "".join(now)
+                now, n_now, used = [], 0, 0
+    if now:
+        yield paragraph, "sentence_cut" if state == "word" else state, n_now, "".join(now)
 
 
 def cut_sentences(rows: DataFrame, key: str, text: Column, size: str = "chars", most: int | None = None) -> DataFrame:
@@ -141,7 +155,28 @@ def cut_sentences(rows: DataFrame, key: str, text: Column, size: str = "chars",
     A sentence ends with a piece that ends one, or before the piece with which it would hold over `most` (size: "chars" or "words"); a single piece may be larger, and the piece that
     didn't fit begins the next sentence, even one that ends a sentence. A sentence's kind is that of the last piece met that ends something or has a letter, the piece that didn't fit included; where a text
     stops within a sentence it is "sentence_cut", and null where nothing told. paragraph counts the ends of paragraphs that ended sentences so far, a sentence's own included. Null and empty texts
-    give no rows. Rows are not shuffled: a text is read by one task, as in a table it is one row.
+    give no rows. Rows are not shuffled: a text is read by one task, as in a table it is one row, and its sentences leave the task in batches of some megabytes.
     """
-    fold = F.pandas_udf(lambda p: _sentences(p, size, most), "array<struct<sentence: bigint, paragraph: bigint, kind: string, n_pieces: bigint, text: string>>")
-    return rows.select(F.col(key), fold(typed_pieces(text)).alias("found")).select(key, F.inline("found"))
+    names = ["sentence", "paragraph", "kind", "n_pieces", "text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts, found, held = batch.column(0), batch.column(1), [], 0
+
+            def flushed():
+                at, *columns = zip(*found, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *map(pa.array, columns, kinds)], [key, *names])
+
+            for k in range(len(batch)):
+                for n, (paragraph, kind, n_pieces, sentence) in enumerate(_sentences(texts[k].as_py() or "", size, most)):
+                    found.append((k, n, paragraph, kind, n_pieces, sentence))
+                    held += len(sentence)
+                    if len(found) >= 50_000 or held > 4_000_000:
+                        yield flushed()
+                        found, held = [], 0
+            if found:
+                yield flushed()
+
+    schema = StructType([rows.schema[key], *(StructField(c, StringType() if c in ("kind", "text") else LongType()) for c in names)])
+    return rows.select(F.col(key), text.alias("__text")).mapInArrow(cut, schema)

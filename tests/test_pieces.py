@@ -62,6 +62,19 @@ def test_cut_sentences(spark, size, most):
     assert chunks.cut_sentences(rows.limit(0), "id", F.col("text")).collect() == []
 
 
+def test_cut_sentences_leave_in_batches(spark):
+    """Long texts of random pieces, whose sentences are more than one batch holds; no array of pieces is made of a text."""
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(["word ", "x", " ", ".", "! ", "\n", "1 ", "é", "…", "_ ", "longer words here "], n)) for n in (60_000, 3, 9_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for size, most in (("chars", 20), ("chars", 3), ("chars", None)):
+        found = chunks.cut_sentences(rows, "id", F.col("text"), size, most)
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+        got = sorted((x.id, x.sentence, x.paragraph, x.kind, x.text) for x in found.collect())
+        assert got == sorted((n, k, *s) for n, t in enumerate(texts) for k, s in enumerate(plain_sentences(t, size, most)))
+        assert all(x.n_pieces == len(plain_pieces(x.text)) or "\n" in x.text or x.text[0] in chunks.SENTENCE_ENDS for x in found.where("id = 1").collect())
+
+
 def test_choices_by_text(spark):
     four = ["The cat sat on the mat", "The cat sat on the mat, then it slept", "Dogs bark at night", "Blue"]
     cases = [
