@@ -15,8 +15,7 @@ def _questions(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir, k=10):
-    scored = R.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
-    return R.ranked(scored, "query_id", "score", "doc_id", k)
+    return R.bm25_topk(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -38,8 +37,9 @@ BM25 = f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <
 
 
 def _overlap(spark, sf_dir, multiset, k=10):
-    scored = R.jaccard(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), multiset)
-    return R.ranked(scored, "query_id", "score", "doc_id", k).select("query_id", "doc_id", "score", "rank")
+    docs, asked = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    found = R.ranked(R.jaccard(docs, asked, True), "query_id", "score", "doc_id", k) if multiset else R.jaccard_topk(docs, asked, k)
+    return found.select("query_id", "doc_id", "score", "rank")
 
 
 def jaccard_topk(spark, sf_dir):

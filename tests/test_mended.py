@@ -40,3 +40,16 @@ def test_cosines_are_rounded_to_six_digits_and_then_to_two_halves_up(spark):
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query array<double>")
     got = {r.vec_id: r.score for r in retrieval.dense_topk(v, q, 9, digits=2).collect()}
     assert got == {0: 0.35, 1: 0.35, 2: 0.34, 3: 0.13, 4: -0.13, 5: -0.35}
+
+
+def test_first_documents_of_a_query_equal_those_of_all_scores(spark, sf_dir):
+    """Best of each batch by products of matrices; scores of all pairs of documents and queries are not shuffled."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "the of"), (-4, "ab ab")], "doc_id long, text string"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "ab ab the")], "query_id long, text string"))
+    few = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a")], "doc_id long, text string")  # a term that all have, and a mean below 0
+    for d, q in ((docs, asked), (few, spark.createDataFrame([(1, "a b z"), (2, "z")], "query_id long, text string"))):
+        for got, scored in ((retrieval.bm25_topk(d, q, 7, block=11), retrieval.bm25(d, q)), (retrieval.jaccard_topk(d, q, 7, block=11), retrieval.jaccard(d, q))):
+            want = retrieval.ranked(scored, "query_id", "score", "doc_id", 7)
+            assert "mapInArrow" in (plan := got._jdf.queryExecution().toString()) or "MapInArrow" in plan
+            rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in df.collect())
+            assert rows(got) == rows(want)
