@@ -53,3 +53,15 @@ def test_first_documents_of_a_query_equal_those_of_all_scores(spark, sf_dir):
             assert "mapInArrow" in (plan := got._jdf.queryExecution().toString()) or "MapInArrow" in plan
             rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in df.collect())
             assert rows(got) == rows(want)
+
+
+def test_hashed_neighbours_equal_embeddings_that_are_compared_one_by_one(spark, sf_dir):
+    """Texts are embedded where they are met: only the best of a task are shuffled, not every word and pair of words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(5)
+    got = retrieval.hashed_topk(docs, asked, 6)
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().toString()) and "posexplode" not in plan and "md5" not in plan
+    pairs = docs.crossJoin(asked.select("query_id")).where("size(filter(split(text, '[ \n]'), w -> w <> '')) > 0").select("query_id", "doc_id")
+    want = retrieval.ranked(retrieval.hashed_cosine(pairs, docs, asked), "query_id", "score", "doc_id", 6)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in df.collect())
+    assert rows(got) == rows(want)
